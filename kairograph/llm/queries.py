@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokencount
+from . import bpe, decontaminate, linededup, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": bpe.op2,
     "op3_token_counts": tokencount.op3,
+    "op7_decontamination": decontaminate.op7,
+    "op9_simhash_golay": simhash.op9,
+    "op10_line_dedup": linededup.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontaminate.OP7_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
+}
