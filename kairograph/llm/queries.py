@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, linededup, simhash, tokencount
+from . import bpe, decontaminate, licences, linededup, simhash, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": bpe.op2,
     "op3_token_counts": tokencount.op3,
+    "op4_license_digests": licences.op4,
     "op7_decontamination": decontaminate.op7,
+    "op8_warc": warc.op8,
     "op9_simhash_golay": simhash.op9,
     "op10_line_dedup": linededup.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_digests": licences.OP4_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
