@@ -32,7 +32,7 @@ from .session import table
 from .textbytes import byte_column, row_slices
 
 #: Words that a worker remembers from one batch to the next.
-KEEP = 800_000
+KEEP = 500_000
 #: Words of one recursive query.
 WORDS_A_QUERY = 50_000
 
