@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, linededup, simhash, tokencount, warc
+from . import audio, bpe, decontaminate, licences, linededup, quality, simhash, tokencount, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_kn": quality.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_token_counts": tokencount.op3,
     "op4_license_digests": licences.op4,
+    "op5_audio_features": audio.op5,
+    "op6_toxicity_kn": toxicity.op6,
     "op7_decontamination": decontaminate.op7,
     "op8_warc": warc.op8,
     "op9_simhash_golay": simhash.op9,

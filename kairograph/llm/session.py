@@ -46,3 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of ids that are broadcast at most (about 32 MB as a hash table).
+SMALL_ROWS = 1_000_000
+
+
+def small(ids: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``ids`` marked for broadcast if it has few rows, counted first; else left to a shuffle join."""
+    from pyspark.sql import functions as F
+
+    ids = stored(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= rows else ids
