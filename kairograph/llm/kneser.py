@@ -3,9 +3,9 @@
 An n-gram is ``order`` bytes packed into a long, the last byte lowest, so a
 suffix is a mask and a context is a shift: continuation counts, contexts and
 back-off are plain aggregates and joins on longs, sharded by n-gram. Texts are
-preceded by ``order - 1`` zero bytes. The highest order may be counted by class
-(each class has its own counts and discounts there); all lower orders are the
-continuation counts of all classes together, and are the shared back-off.
+preceded by ``order - 1`` zero bytes. Orders above ``shared`` are counted by
+class, with discounts of their own; orders up to it are the continuation counts
+of all classes together, and are the shared back-off.
 
 Scoring needs the values of the distinct n-grams of the scored texts. They are
 found by joining those n-grams, at every order, with the sharded counts. How the
@@ -156,12 +156,17 @@ def discounts(n: dict[int, int]) -> tuple[float, float, float]:
     return tuple(d if 0 < d < i + 1 else p for i, (d, p) in enumerate(zip(found, PLAIN, strict=True)))
 
 
+#: Levels of class ``c`` and order ``k`` are numbered ``OWN * (c + 1) + k``; shared levels just ``k``.
+OWN = 100
+
+
 @dataclass
 class Model:
-    """``levels(k, g, c)`` and ``contexts(k, h, gamma, total)``; ``k`` above the order names a class's highest order."""
+    """``grams(k, g, kept)`` and ``contexts(k, h, gamma, total)`` by level: orders up to ``shared`` for all classes, the rest by class."""
 
     order: int
     classes: int
+    shared: int
     grams: DataFrame
     contexts: DataFrame
 
@@ -170,39 +175,45 @@ def _mask(k: int) -> int:
     return (1 << 8 * k) - 1
 
 
-def fit(rows: DataFrame, order: int, classes: int = 1) -> Model:
-    """A model of ``rows(text, cls)``. No rows give a uniform model."""
+def fit(rows: DataFrame, order: int, classes: int = 1, shared: int | None = None) -> Model:
+    """A model of ``rows(text, cls)``; by default all orders below the highest are shared. No rows give a uniform model."""
+    shared = order - 1 if shared is None else shared
     top = stored(count_grams(rows, order, classes), "kn-counts")
-    # Level k < order: types of k + 1 bytes, grouped by their last k; level order + c: class c's own counts.
-    suffixes = F.array(*[F.struct(F.lit(k).alias("k"), F.col("g").bitwiseAND(F.lit(_mask(k + 1))).alias("t")) for k in range(1, order)])
-    types = top.select(F.explode(suffixes).alias("s")).select("s.k", "s.t").distinct()
-    masks = F.element_at(F.array(*[F.lit(_mask(k)) for k in range(1, order)]), F.col("k"))
+    # A level below the highest order counts the types of one more byte by their last k bytes.
+    wanted = [(k, F.lit(True)) for k in range(1, shared + 1)] + [(OWN * (c + 1) + k, F.col(f"c{c}") > 0) for c in range(classes) for k in range(shared + 1, order)]
+    suffixes = F.array(*[F.when(some, F.struct(F.lit(k).alias("k"), F.col("g").bitwiseAND(F.lit(_mask(k % OWN + 1))).alias("t"))) for k, some in wanted])
+    types = top.select(F.explode(suffixes).alias("s")).where("s IS NOT NULL").select("s.k", "s.t").distinct()
+    masks = F.element_at(F.array(*[F.lit(_mask(k)) for k in range(1, order)]), F.col("k") % OWN)
     lower = types.groupBy("k", F.col("t").bitwiseAND(masks).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    own = top.select("g", F.explode(F.array(*[F.struct(F.lit(order + c).alias("k"), F.col(f"c{c}").alias("c")) for c in range(classes)])).alias("s")).select("s.k", "g", "s.c").where("c > 0")
+    own = top.select("g", F.explode(F.array(*[F.struct(F.lit(OWN * (c + 1) + order).alias("k"), F.col(f"c{c}").alias("c")) for c in range(classes)])).alias("s")).select("s.k", "g", "s.c").where("c > 0")
     levels = stored(lower.select("k", "g", "c").union(own), "kn-levels")
-    found: dict[int, dict[int, int]] = {}
+    found: dict[int, dict[int, int]] = {k: {} for k, _ in wanted} | {OWN * (c + 1) + order: {} for c in range(classes)}
     for k, c, n in levels.groupBy("k", F.least("c", F.lit(5)).alias("c")).count().collect():  # five rows a level
-        found.setdefault(k, {})[c] = n
-    by_level = {k: discounts(found.get(k, {})) for k in range(1, order + classes)}
-    rows_d = F.map_from_arrays(F.array(*[F.lit(k) for k in by_level]), F.array(*[F.array(*map(F.lit, d)) for d in by_level.values()]))
-    d = F.element_at(F.element_at(rows_d, F.col("k")), F.least(F.col("c"), F.lit(3)).cast("int"))
+        found[k][c] = n
+    by_level = {k: discounts(n) for k, n in found.items()}
+    table = F.map_from_arrays(F.array(*[F.lit(k) for k in by_level]), F.array(*[F.array(*map(F.lit, d)) for d in by_level.values()]))
+    d = F.element_at(F.element_at(table, F.col("k")), F.least(F.col("c"), F.lit(3)).cast("int"))
     cut = levels.select("k", "g", F.shiftright("g", 8).alias("h"), F.col("c").cast("double").alias("c"), d.alias("d"))
     sums = cut.groupBy("k", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
     contexts = stored(sums.select("k", "h", "total", (F.col("left") / F.col("total")).alias("gamma")), "kn-contexts")
-    return Model(order, classes, cut.select("k", "g", (F.col("c") - F.col("d")).alias("kept")), contexts)
+    return Model(order, classes, shared, cut.select("k", "g", (F.col("c") - F.col("d")).alias("kept")), contexts)
 
 
 def values(model: Model, wanted: DataFrame) -> DataFrame:
     """``(g, v0, ...)``: the natural logarithm of every wanted n-gram's probability, by class."""
-    n = model.order
-    parts = [F.struct(F.lit(k).alias("k"), F.col("q").bitwiseAND(F.lit(_mask(min(k, n)))).alias("g")) for k in range(1, n + model.classes)]
+    n, shared = model.order, model.shared
+    levels = [*range(1, shared + 1), *(OWN * (c + 1) + k for c in range(model.classes) for k in range(shared + 1, n + 1))]
+    parts = [F.struct(F.lit(k).alias("k"), F.col("q").bitwiseAND(F.lit(_mask(k % OWN))).alias("g")) for k in levels]
     asked = wanted.select(F.col("g").alias("q")).select("q", F.explode(F.array(*parts)).alias("s")).select("q", "s.k", "s.g", F.shiftright("s.g", 8).alias("h"))
     met = asked.join(model.grams, ["k", "g"], "left").join(model.contexts, ["k", "h"], "left")
     one = F.struct("k", F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)).alias("a"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-    folded = met.groupBy("q").agg(F.sort_array(F.collect_list(one)).alias("steps"))
-    low = F.aggregate(F.slice("steps", 1, n - 1), F.lit(1 / 256), lambda p, s: s["a"] + s["gamma"] * p)
-    tops = [F.get("steps", F.lit(n - 1 + c)) for c in range(model.classes)]
-    return folded.select("q", low.alias("p"), *[t.alias(f"t{c}") for c, t in enumerate(tops)]).select(F.col("q").alias("g"), *[F.log(F.col(f"t{c}.a") + F.col(f"t{c}.gamma") * F.col("p")).cast("float").alias(f"v{c}") for c in range(model.classes)])
+    folded = met.groupBy("q").agg(F.sort_array(F.collect_list(one)).alias("steps"))  # one entry per level
+
+    def along(start, first: int, count: int):
+        return F.aggregate(F.slice("steps", first, count), start, lambda p, s: s["a"] + s["gamma"] * p)
+
+    low = folded.select("q", "steps", (along(F.lit(1 / 256), 1, shared) if shared else F.lit(1 / 256)).alias("p"))
+    return low.select(F.col("q").alias("g"), *[F.log(along(F.col("p"), shared + c * (n - shared) + 1, n - shared)).cast("float").alias(f"v{c}") for c in range(model.classes)])
 
 
 class Lookup:

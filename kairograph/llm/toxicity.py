@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 6).
 
-Two models, toxic and ordinary, have their own counts of the longest byte
-n-grams and share all shorter ones as back-off, so an expression that one class
+Two models, toxic and ordinary, have their own counts of byte n-grams and share
+those of at most ``SHARED`` bytes as back-off, so an expression that one class
 never shows is still smoothed by what both show. Each byte gets the difference of
 its two log-likelihoods. A document is described by length-normalised
 differences: the mean over all its bytes, and the largest means over windows of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import kneser
 from .session import small, table
 
-ORDER = 6
+ORDER, SHARED = 5, 2
 FOLDS = 5
 SAMPLE = 20_000
 WINDOWS = (12, 48, 192)
@@ -83,7 +83,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     learn = marks.withColumn("fold", _remainder("__id")).where("fold <> 0")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = texts.join(small(learn), F.col("id") == F.col("__id")).select("id", "text", "cls", "fold")
-    model = kneser.fit(known.where("fold <> 1").select("text", "cls"), ORDER, 2)
+    model = kneser.fit(known.where("fold <> 1").select("text", "cls"), ORDER, 2, SHARED)
     scorer = kneser.Scorer(texts, model, lambda v: v.select("g", (F.col("v1") - F.col("v0")).cast("float").alias("v")), limit=limit)
     fitting = scorer.score(known.where("fold = 1").select("id", "text", "cls"), describe, FEATURES).select("id", "cls", *FEATURES)
     rows = fitting.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
