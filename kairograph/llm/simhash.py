@@ -104,10 +104,13 @@ def links(prints: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints that keep every component whole."""
     rows = stored(keys(prints), "golay-keys")
     crowded = stored(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded-keys")
-    rest = rows.join(crowded, "key", "left_anti")
+    some = not crowded.isEmpty()
+    rest = rows.join(crowded, "key", "left_anti") if some else rows
     a = rest.where("probe").select("key", F.col("fp").alias("a"))
     b = rest.where("NOT probe").select("key", F.col("fp").alias("b"))
     joined = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
+    if not some:
+        return joined
     packed = rows.join(crowded, "key", "left_semi").select("fp").distinct()
     flips = [0, *((1 << k) - (1 << 64 if k == 63 else 0) for k in range(64))]
     variants = packed.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
