@@ -43,7 +43,9 @@ FILE_BYTES = 256 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_READ = 1 << 20
+_READ, _PIECE = 1 << 20, 1 << 14
+#: Tasks that read ranges at most; each then reads several.
+READERS = 32_768
 
 
 def _filesystem(path: str):
@@ -152,19 +154,19 @@ def read_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
     """Inflated records of the open ``file`` whose members start in ``[start, end)``."""
     file.seek(start)
     data = file.read(min(size, end + 4096) - start)
+    view = memoryview(data)
     for at in starts(data, end - start):
-        inflate, parts, rest = zlib.decompressobj(31), [], data[at:]
-        place = start + len(data)
-        while True:
-            parts.append(inflate.decompress(rest))
-            if inflate.eof:
-                yield b"".join(parts)
-                break
-            file.seek(place)
-            rest = file.read(_READ)
-            place += len(rest)
-            if not rest:
-                raise EOFError("the last record is cut off")
+        inflate, parts, place = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            piece = view[place : place + _PIECE]
+            if not piece:
+                file.seek(start + place)
+                piece = file.read(_READ)
+                if not piece:
+                    raise EOFError("the last record is cut off")
+            place += len(piece)
+            parts.append(inflate.decompress(piece))
+        yield b"".join(parts)
 
 
 def read(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -176,7 +178,8 @@ def read(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """
     last = F.greatest(F.expr(f"(bytes - 1) div {range_bytes}"), F.lit(0))
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    ranges = ranges.repartition("path", "k")
+    number = manifest.agg(F.sum(last + 1)).first()[0] or 1
+    ranges = ranges.repartition(min(READERS, number), "path", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
