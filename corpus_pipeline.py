@@ -20,7 +20,8 @@ from kairograph.llm.session import small, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    found = quality.classify(docs, table(spark, sf_dir, "labels"), kept_col="__kept", perplexity_col="__perplexity")
+    return found.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

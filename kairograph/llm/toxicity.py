@@ -16,8 +16,8 @@ with that remainder 1 fit the regression and the rest the models, so the
 regression meets texts as unknown as those scored later.
 
 Defined cases: null and empty texts score as the prior of the fitted rows allows
-(all differences zero); without labels of both classes every score is 0.5 times
-the intercept's odds, that is 0; contradicting labels of one id count as toxic;
+(all differences zero); without fitted labels of both classes every score is next
+to 0; contradicting labels of one id count as toxic;
 repeated rows give repeated results; null ids are never held out and never
 learnt from; other columns are not read.
 """
