@@ -75,7 +75,7 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
 
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h & np.uint64((1 << BITS) - 1)
+    place = h & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 

@@ -73,7 +73,7 @@ def split(texts: list[str], classes: Classes) -> PreTokens:
     data = np.frombuffer(joined.encode(), np.uint8)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     n = len(points)
-    stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+    stops = np.cumsum(np.array([len(t) for t in texts] or [0], np.int64) + 1) - 1
     kind = classes.of(points)
     kind[stops] = BREAK
     start = np.empty(n + 4, bool)
@@ -98,6 +98,6 @@ def split(texts: list[str], classes: Classes) -> PreTokens:
     end = np.append(begin[1:], n)
     real = kind[begin] != BREAK
     begin, end = begin[real], end[real]
-    first = np.concatenate([[0], np.searchsorted(begin, stops)])
+    first = np.concatenate([[0], np.searchsorted(begin, stops[: len(texts)])])
     byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     return PreTokens(data, byte_of[begin], byte_of[end], first)

@@ -108,7 +108,7 @@ def test_licences_in_other_spellings(spark):
     mit = dict(licences.KNOWN[:1])["MIT"]
     rows = odd_rows() + [(800, "Copyright (c) 2020 A Body\n\n" + mit.upper(), "en"), (801, mit.replace(",", " ;").replace("sublicense", "sub-license"), "en"), (802, mit + "and more", "en"), (803, "// (C) me\n# All rights reserved.\n" + mit, None), (804, "Licenced under the MIT licence", "en"), (805, "copyright 2020", "en")]
     found = {r.doc_id: r for r in licences.scan(docs(spark, rows), licences.known_digests(spark)).collect()}
-    assert [found[k].license_id for k in (800, 801, 802, 803, 804, 805)] == ["MIT", "MIT", None, "MIT", None, None]
+    assert [found[k].license_id for k in (800, 801, 802, 803, 804, 805)] == ["MIT", "MIT", None, "MIT", "MIT-notice", None]
     assert found[100].canonical_sha256 == found[101].canonical_sha256 == found[805].canonical_sha256 == hashlib.sha256(b"").hexdigest()
     assert found[100].license_id is None
     assert licences.scan(docs(spark, []), licences.known_digests(spark)).count() == 0
