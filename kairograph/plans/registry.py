@@ -71,8 +71,9 @@ def _query(name: str, kind: str, sql: str | None = None):
     return add
 
 
-def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+def _r(df: DataFrame, *columns: str, places: int = 6, shift: float = 0.0) -> DataFrame:
+    """Rounded columns; a small shift keeps exact decimal halves, which engines round differently, off the edge."""
+    return df.withColumns({c: F.round(F.col(c) + shift if shift else F.col(c), places) for c in columns})
 
 
 E, O = "events", "orders"
@@ -206,9 +207,9 @@ _DS1 = ["f_collab", "f_rpop", "f_icf_mean", "f_icf_top3", "f_dot", "f_cooc", "re
 _DS2 = ["f_collab", "f_rpop", "f_icf_mean", "f_icf_top3", "f_dot", "blend", "recency", "pop_log", "time_gap", "f_short", "f_long", "f_diff", "f_freq", "f_ratio"]
 _MORE = "(SELECT *, f_short - f_long AS f_diff, (time - hi) / 365.0 AS time_gap, (time - last) / 365.0 AS last_gap, CASE WHEN n_hist > 0 THEN 1 ELSE 0 END AS in_hist, count(*) OVER (PARTITION BY row_id) AS width, 0.25 * f_collab + 1.25 * f_rpop + 0.5 * f_icf_mean + 1.0 * f_icf_top3 + 0.7 * f_dot AS blend FROM feats)"
 _COOC = f"(SELECT f.*, {_norm('cooc')} AS f_cooc FROM {_MORE} f JOIN coocs USING (src, cand))"
-_rounded = lambda names: ", ".join(f"round({n}, 5) AS {n}" for n in names)
-_query("features_ds1", E, f"SELECT row_id, pos, cand, label, hist_len, in_hist, n_hist, seen, width, {_rounded(_DS1)} FROM {_COOC}")(lambda i: _r(P.features_ds1(i.slates, i.train, i.vectors), *_DS1, places=5))
-_query("features_ds2", O, f"SELECT row_id, pos, cand, label, hist_len, in_hist, seen, width, {_rounded(_DS2)} FROM {_MORE}")(lambda i: _r(P.features_ds2(i.slates, i.train, i.vectors), *_DS2, places=5))
+_rounded = lambda names: ", ".join(f"round({n} + 1e-9, 5) AS {n}" for n in names)
+_query("features_ds1", E, f"SELECT row_id, pos, cand, label, hist_len, in_hist, n_hist, seen, width, {_rounded(_DS1)} FROM {_COOC}")(lambda i: _r(P.features_ds1(i.slates, i.train, i.vectors), *_DS1, places=5, shift=1e-9))
+_query("features_ds2", O, f"SELECT row_id, pos, cand, label, hist_len, in_hist, seen, width, {_rounded(_DS2)} FROM {_MORE}")(lambda i: _r(P.features_ds2(i.slates, i.train, i.vectors), *_DS2, places=5, shift=1e-9))
 _query("linear_blend_ds1", E, f"SELECT row_id, pos, cand, label, round(16 * n_hist + 0.5 * f_collab + 1.25 * f_rpop + 2.0 * f_icf_mean + 1.2 * f_icf_top3 + 0.3 * f_cooc + 9.0 * f_dot, 5) AS score FROM {_COOC}")(lambda i: _r(P.linear_blend_ds1(P.features_ds1(i.slates, i.train, i.vectors)), "score", places=5))
 _query("linear_blend_ds2", O, f"SELECT row_id, pos, cand, label, round(CASE WHEN in_hist = 1 THEN 0 ELSE blend END, 5) AS score FROM {_MORE}")(lambda i: _r(P.linear_blend_ds2(P.features_ds2(i.slates, i.train, i.vectors)), "score", places=5))
 _SIMPLE = f"(SELECT *, 16 * n_hist + 1.25 * ({_norm('rpop')}) AS s FROM (SELECT f.*, coalesce(rpop, 0) AS rpop FROM flagged f LEFT JOIN rpops r ON r.dst = f.cand))"
@@ -217,7 +218,7 @@ _query("simple_blend", E, f"SELECT row_id, pos, round(s, 6) AS score FROM {_SIMP
 _query("mrr", E, f"SELECT count(*) AS n_rows, round(avg(1 / rank), 6) AS mrr FROM (SELECT row_id, 1 + count(*) FILTER (label = 0 AND s >= own) AS rank FROM (SELECT *, max(CASE WHEN label = 1 THEN s END) OVER (PARTITION BY row_id) AS own FROM {_SIMPLE}) GROUP BY row_id)")(lambda i: replay.mrr(P.simple_blend(i.slates, i.train)))
 _query("eval_mrr", O, f"SELECT count(*) AS n_rows, round(avg(1 / rank), 6) AS mrr FROM (SELECT row_id, 1 + count(*) FILTER (label = 0 AND s >= own) AS rank FROM (SELECT *, max(CASE WHEN label = 1 THEN s END) OVER (PARTITION BY row_id) AS own FROM (SELECT *, round(CASE WHEN in_hist = 1 THEN 0 ELSE blend END, 9) AS s FROM {_MORE})) GROUP BY row_id)")(lambda i: replay.mrr(_r(P.linear_blend_ds2(P.features_ds2(i.slates, i.train, i.vectors)), "score", places=9)))
 _MM = "(score - min(score) OVER (PARTITION BY row_id)) / (max(score) OVER (PARTITION BY row_id) - min(score) OVER (PARTITION BY row_id))"
-_query("consensus_blend", O, f"SELECT row_id, pos, round(({_MM} + {_MM.replace('score', 'other')}) / 2, 6) AS score FROM (SELECT *, ((cand * 31 + pos) % 97) / 96.0 AS other FROM cells)")(lambda i: _r(P.consensus_blend([i.cells, i.cells.withColumn("score", ((F.col("cand") * 31 + F.col("pos")) % 97) / 96.0)]), "score"))
+_query("consensus_blend", O, f"SELECT row_id, pos, round(({_MM} + {_MM.replace('score', 'other')}) / 2 + 1e-9, 6) AS score FROM (SELECT *, ((cand * 31 + pos) % 97) / 96.0 AS other FROM cells)")(lambda i: _r(P.consensus_blend([i.cells, i.cells.withColumn("score", ((F.col("cand") * 31 + F.col("pos")) % 97) / 96.0)]), "score", shift=1e-9))
 
 # Replay.
 _REPLAY = "SELECT row_id AS qid, src, dst, time FROM q WHERE src IN (SELECT src FROM pool)"
