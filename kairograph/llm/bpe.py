@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .pretokens import Classes, split
 from .session import table
-from .textbytes import byte_column, row_slices
+from .textbytes import SLICE_BYTES, byte_column, row_slices
 
 #: Words that a worker remembers from one batch to the next.
-KEEP = 500_000
+KEEP = 250_000
 #: Words of one recursive query.
-WORDS_A_QUERY = 50_000
+WORDS_A_QUERY = 16_000
 
 #: ``state`` holds token-position rows with the token to the right; positions stay dense.
 ENCODE_SQL = """
@@ -80,7 +80,7 @@ class Codec:
 
         self.ranks = ranks
         self.known: dict[int, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "autoinstall_known_extensions": "false"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "autoinstall_known_extensions": "false"})
         pairs, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -191,7 +191,7 @@ def codec(ranks, pattern: str) -> Codec:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     _, offsets = byte_column(batch.column(1))
-    for a, b in row_slices(offsets, 8 << 20):
+    for a, b in row_slices(offsets, SLICE_BYTES):
         yield a, b, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
 
 
