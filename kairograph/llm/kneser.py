@@ -30,7 +30,7 @@ from .session import stored
 from .textbytes import byte_column, row_slices
 
 #: Values that are broadcast at most; an entry takes 8 bytes and 4 per value.
-BROADCAST_GRAMS = 3_000_000
+BROADCAST_GRAMS = 2_000_000
 BLOCK_BYTES = 48 << 20
 #: Distinct n-grams that a task holds before it passes them on.
 HELD = 1_500_000
@@ -220,7 +220,7 @@ class Lookup:
     """An open hash table of n-grams that are all present, as arrays."""
 
     def __init__(self, keys: np.ndarray, found: np.ndarray):
-        self.bits = max(4, math.ceil(math.log2(max(1, len(keys)) * 3)))
+        self.bits = max(4, math.ceil(math.log2(max(1, len(keys)) * 1.5)))
         slot = self._slot(keys)
         order = np.argsort(slot, kind="stable")
         place = np.maximum.accumulate(slot[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else slot
@@ -270,10 +270,12 @@ class Scorer:
             found = self.table.toArrow()
             self.shared = texts.sparkSession.sparkContext.broadcast((found["g"].to_numpy(), found["v"].to_numpy()))
 
-    def score(self, docs: DataFrame, summary: Summary, columns: list[str]) -> DataFrame:
-        """``docs`` with the summary's columns (doubles), one row per row."""
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{c}` double" for c in columns)])
-        names, at, order, shared = [*docs.columns, *columns], docs.columns.index(self.text_col), self.order, self.shared
+    def score(self, docs: DataFrame, summary: Summary, columns: list[str], text: bool = True) -> DataFrame:
+        """``docs``, without the text if that is not wanted, with the summary's columns (doubles); one row per row."""
+        at, order, shared = docs.columns.index(self.text_col), self.order, self.shared
+        kept = [i for i in range(len(docs.columns)) if text or i != at]
+        schema = ", ".join([*(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept), *(f"`{c}` double" for c in columns)])
+        names = [*(docs.columns[i] for i in kept), *columns]
 
         def rows(batch, lookup: Lookup) -> list[pa.Array]:
             made = _scored(batch.column(at), order, lookup, summary) if len(batch) else [np.zeros(0)] * len(columns)
@@ -285,7 +287,7 @@ class Scorer:
                 lookup = None
                 for batch in batches:
                     lookup = lookup or Lookup(*shared.value)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *rows(batch, lookup)], names=names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *rows(batch, lookup)], names=names)
 
             return docs.mapInArrow(run, schema)
         total = docs.agg(F.sum(F.octet_length(self.text_col))).first()[0] or 0
@@ -298,6 +300,6 @@ class Scorer:
         def block(part: pa.Table, own: pa.Table) -> pa.Table:
             own = own.combine_chunks()
             part = part.drop_columns(["__block"])
-            return pa.Table.from_arrays([*part.columns, *rows(part, Lookup(own["g"].to_numpy(), own["v"].to_numpy()))], names=names)
+            return pa.Table.from_arrays([*(part.column(i) for i in kept), *rows(part, Lookup(own["g"].to_numpy(), own["v"].to_numpy()))], names=names)
 
         return dealt.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(block, schema)

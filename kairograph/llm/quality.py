@@ -41,25 +41,25 @@ def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "
     return small(agreed.where("a = 1 AND b = 1").select("__trusted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", kept_col: str = "kept", perplexity_col: str = "perplexity", limit: int = kneser.BROADCAST_GRAMS) -> DataFrame:
-    """``docs`` with ``perplexity`` and ``kept``; columns of those names are replaced."""
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", kept_col: str = "kept", perplexity_col: str = "perplexity", text: bool = True, limit: int = kneser.BROADCAST_GRAMS) -> DataFrame:
+    """``docs``, without the text if that is not wanted, with ``perplexity`` and ``kept``; columns of those names are replaced."""
     trusted = docs.join(trusted_ids(labels, id_col=id_col), F.col(f"`{id_col}`") == F.col("__trusted"), "left_semi")
     model = kneser.fit(trusted.select(F.col(text_col).alias("text"), F.lit(0).alias("cls")), ORDER)
     scorer = kneser.Scorer(docs, model, lambda v: v.select("g", F.col("v0").alias("v")), text_col=text_col, limit=limit)
     perplexity = F.when(~F.isnan("__surprise"), F.exp("__surprise"))
-    sample = scorer.score(trusted.select(text_col, lang_col), _mean_surprise, ["__surprise"]).select(F.col(lang_col).alias("__lang"), perplexity.alias("p"))
+    sample = scorer.score(trusted.select(text_col, lang_col), _mean_surprise, ["__surprise"], text=False).select(F.col(lang_col).alias("__lang"), perplexity.alias("p"))
     quantile = F.percentile_approx("p", QUANTILE, ACCURACY)
     # One row per language and one for all; languages number few, but the join is left to the optimizer all the same.
     bounds = stored(sample.cube("__lang").agg(F.grouping("__lang").alias("all"), quantile.alias("__bound")), "quality-bounds")
     overall = bounds.where("all = 1").agg(F.max("__bound")).first()[0]
     own = bounds.where("all = 0 AND __lang IS NOT NULL").select("__lang", "__bound")
-    scored = scorer.score(docs, _mean_surprise, ["__surprise"]).join(own, F.col(lang_col) == F.col("__lang"), "left")
+    scored = scorer.score(docs, _mean_surprise, ["__surprise"], text=text).join(own, F.col(lang_col) == F.col("__lang"), "left")
     bound = F.coalesce("__bound", F.lit(overall).cast("double")) * MARGIN
     kept = F.when(perplexity.isNull(), False).otherwise(F.coalesce(perplexity <= bound, F.lit(True)))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (kept_col, perplexity_col)]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (kept_col, perplexity_col) and (text or c != text_col)]
     return scored.select(*others, perplexity.alias(perplexity_col), kept.alias(kept_col))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "kept")
+    return classify(docs, table(spark, sf_dir, "labels"), text=False).select("doc_id", "lang", "perplexity", "kept")

@@ -85,14 +85,14 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     known = texts.join(small(learn), F.col("id") == F.col("__id")).select("id", "text", "cls", "fold")
     model = kneser.fit(known.where("fold <> 1").select("text", "cls"), ORDER, 2, SHARED)
     scorer = kneser.Scorer(texts, model, lambda v: v.select("g", (F.col("v1") - F.col("v0")).cast("float").alias("v")), limit=limit)
-    fitting = scorer.score(known.where("fold = 1").select("id", "text", "cls"), describe, FEATURES).select("id", "cls", *FEATURES)
+    fitting = scorer.score(known.where("fold = 1").select("id", "text", "cls"), describe, FEATURES, text=False).select("id", "cls", *FEATURES)
     rows = fitting.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     y = rows["cls"].to_numpy(np.float64)
     if len(set(y)) == 2:
         mean, scale, w = fit_logistic(rows[FEATURES].to_numpy(np.float64), y)
     else:
         mean, scale, w = np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.array([-30.0] + [0.0] * len(FEATURES))
-    scored = scorer.score(texts, describe, FEATURES)
+    scored = scorer.score(texts, describe, FEATURES, text=False)
     z = F.lit(float(w[0]))
     for name, m, s, v in zip(FEATURES, mean, scale, w[1:], strict=True):
         z = z + (F.col(name) - float(m)) / float(s) * float(v)
