@@ -2,8 +2,8 @@
 
 Rows are cut into islands, the longest stretches of consecutive rows that are
 coupled one to the next; messages never leave an island. Only islands of two or
-more rows go to Python workers, one group each; all other rows are a softmax in
-SQL. An island lies within one time.
+more rows go to Python workers, up to ``ISLANDS`` of one time in a group; all
+other rows are a softmax in SQL. An island lies within one time.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from ..functions.scores import row_softmax
 from .rules import adjacent_shared, slate_sets
 
 
+#: Islands of one time that are handed over together.
+ISLANDS = 64
+
+
 def sweep(belief, coupling, strength: float):
     """One pass along an island: ``coupling[k]`` maps positions of row k to positions of the row before it in the pass."""
     import numpy as np
@@ -62,13 +66,26 @@ def equality_crf(cells: DataFrame, log: DataFrame, tau: float = 0.20, strength:
     met = cells.join(sized.select("row_id", "island", "n", F.col("warm").alias("known")), "row_id")
     alone = met.where("n = 1").withColumn("score", row_softmax(F.col("score"), tau)).select("row_id", "src", "time", "pos", "cand", "score")
 
+    import numpy as np
+
     def infer(pdf):
-        pdf = pdf.sort_values(["row_id", "pos"])
-        groups = [g for _, g in pdf.groupby("row_id", sort=True)]
-        found = infer_island([g["cand"].tolist() for g in groups], [g["score"].to_numpy() for g in groups], [g["warm"].tolist() for g in groups], tau, strength)
-        for g, f in zip(groups, found, strict=True):
-            pdf.loc[g.index, "score"] = f
-        return pdf[["row_id", "src", "time", "pos", "cand", "score"]]
+        pdf = pdf.sort_values(["row_id", "pos"], ignore_index=True)
+        row, island = pdf["row_id"].to_numpy(), pdf["island"].to_numpy()
+        cand, warm, score = pdf["cand"].to_numpy(), pdf["warm"].to_numpy(), pdf["score"].to_numpy().copy()
+        edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        at = 0
+        while at < len(spans):
+            end = at + 1
+            while end < len(spans) and island[spans[end][0]] == island[spans[at][0]]:
+                end += 1
+            own = spans[at:end]
+            found = infer_island([cand[x:y].tolist() for x, y in own], [score[x:y] for x, y in own], [warm[x:y].tolist() for x, y in own], tau, strength)
+            for (x, y), f in zip(own, found, strict=True):
+                score[x:y] = f
+            at = end
+        return pdf.assign(score=score)[["row_id", "src", "time", "pos", "cand", "score"]]
 
     chained = met.where("n > 1").withColumn("warm", F.array_contains("known", F.col("cand"))).select("row_id", "src", "time", "pos", "cand", "score", "warm", "island")
-    return alone.union(chained.groupBy("time", "island").applyInPandas(infer, "row_id long, src long, time double, pos long, cand long, score double"))
+    groups = chained.groupBy("time", F.floor(F.col("island") / ISLANDS).alias("part"))
+    return alone.union(groups.applyInPandas(infer, "row_id long, src long, time double, pos long, cand long, score double"))
