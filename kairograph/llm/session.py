@@ -22,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="kairograph-")
-        _roots[app] = f"{base.rstrip('/')}/kairograph-{app}"
+        # The full form names the file system, for readers that do not know Spark's default one.
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        full = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+        _roots[app] = f"{full.rstrip('/')}/kairograph-{app}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 
