@@ -6,7 +6,7 @@ database inside the worker. A recursive query joins adjacent rows with the
 merge table, contracts each word's leftmost pair of minimum rank, and goes on
 until no word has a pair left. Decoding is an ordered aggregation of the tokens'
 bytes. Both need no shuffle: a task works on its own rows only, and what a
-worker keeps of earlier batches (``KEEP`` words at most) only saves time.
+task keeps of earlier batches (``KEEP`` words at most) only saves time.
 
 Defined cases: a null text is an empty text; an empty text has no token, the
 digest of no bytes, and decodes to itself; repeated rows give repeated results;
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .pretokens import Classes, split
 from .session import table
-from .textbytes import SLICE_BYTES, byte_column, row_slices
+from .textbytes import pieces, release
 
-#: Words that a worker remembers from one batch to the next.
+#: Words that a task remembers from one batch to the next.
 KEEP = 250_000
 #: Words of one recursive query.
 WORDS_A_QUERY = 16_000
@@ -190,8 +190,8 @@ def codec(ranks, pattern: str) -> Codec:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    _, offsets = byte_column(batch.column(1))
-    for a, b in row_slices(offsets, SLICE_BYTES):
+    for a, _, offsets in pieces(batch.column(1)):
+        b = a + len(offsets) - 1
         yield a, b, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
 
 
@@ -224,6 +224,8 @@ def _mapped(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, co
                 rows = [row(*x) for x in own.batch(texts)]
                 made = [pa.array([r[f.name] for r in rows], f.type) for f in list(schema)[1:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(schema.field(0).type), *made], schema=schema)
+        own.known.clear()
+        release()
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, {columns}")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import stored
-from .textbytes import byte_column, row_slices
+from .textbytes import pieces, release
 
 #: Values that are broadcast at most; an entry takes 8 bytes and 4 per value.
 BROADCAST_GRAMS = 2_000_000
@@ -105,13 +105,13 @@ def count_grams(rows: DataFrame, order: int, classes: int) -> DataFrame:
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             for k in range(classes):
                 own = batch.column(0).filter(pa.array(kind == k))
-                data, offsets = byte_column(own)
-                for a, b in row_slices(offsets):
-                    held[k].add(grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order))
+                for _, data, offsets in pieces(own):
+                    held[k].add(grams(data, offsets, order))
                 if held[k].full():
                     yield from out(k)
         for k in range(classes):
             yield from out(k)
+        release()
 
     made = rows.select("text", "cls").mapInArrow(run, ", ".join(["g long", *(f"{n} long" for n in names)]))
     return made.groupBy("g").agg(*[F.sum(n).alias(n) for n in names])
@@ -134,13 +134,13 @@ def distinct_grams(texts: DataFrame, order: int, block: bool = False) -> DataFra
             kinds = batch.column(1).to_numpy(zero_copy_only=False) if block else np.zeros(len(batch), np.int64)
             for k in np.unique(kinds).tolist():
                 own = batch.column(0).filter(pa.array(kinds == k)) if block else batch.column(0)
-                data, offsets = byte_column(own)
-                for a, b in row_slices(offsets):
-                    held.setdefault(k, _Held()).add(grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order))
+                for _, data, offsets in pieces(own):
+                    held.setdefault(k, _Held()).add(grams(data, offsets, order))
                 if held.get(k) and held[k].full():
                     yield from out(k)
         for k in list(held):
             yield from out(k)
+        release()
 
     columns = ["text", "block"] if block else ["text"]
     return texts.select(*columns).mapInArrow(run, "g long, block long" if block else "g long").distinct()
@@ -248,11 +248,7 @@ Summary = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 def _scored(texts: pa.Array, order: int, lookup: Lookup, summary: Summary) -> list[np.ndarray]:
-    data, offsets = byte_column(texts)
-    parts = []
-    for a, b in row_slices(offsets):
-        inner = offsets[a : b + 1] - offsets[a]
-        parts.append(summary(lookup(grams(data[offsets[a] : offsets[b]], inner, order)), inner))
+    parts = [summary(lookup(grams(data, offsets, order)), offsets) for _, data, offsets in pieces(texts)]
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
@@ -278,7 +274,9 @@ class Scorer:
         names = [*(docs.columns[i] for i in kept), *columns]
 
         def rows(batch, lookup: Lookup) -> list[pa.Array]:
-            made = _scored(batch.column(at), order, lookup, summary) if len(batch) else [np.zeros(0)] * len(columns)
+            texts = batch.column(at)
+            texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+            made = _scored(texts, order, lookup, summary) if len(batch) else [np.zeros(0)] * len(columns)
             return [pa.array(m, pa.float64()) for m in made]
 
         if shared is not None:
@@ -288,6 +286,7 @@ class Scorer:
                 for batch in batches:
                     lookup = lookup or Lookup(*shared.value)
                     yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *rows(batch, lookup)], names=names)
+                release()
 
             return docs.mapInArrow(run, schema)
         total = docs.agg(F.sum(F.octet_length(self.text_col))).first()[0] or 0

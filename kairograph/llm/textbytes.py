@@ -6,6 +6,8 @@ worker's memory follows the slice size and the longest single text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,24 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         start = end
 
 
+def pieces(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, offsets)`` of consecutive rows of a string column, copied a few rows at a time."""
+    for at in range(0, len(column), rows):
+        data, offsets = byte_column(column.slice(at, rows))
+        for a, b in row_slices(offsets):
+            yield at + a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def release() -> None:
+    """Gives free memory back at the end of a task: workers live on, and their executors' memory is shared."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _power(kind: str, size: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < size:
