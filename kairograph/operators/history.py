@@ -77,8 +77,8 @@ def item_cf(pairs_wanted: DataFrame, log: DataFrame, vectors: DataFrame) -> Data
     unit = unit_vectors(vectors)
     wanted = pairs_wanted.select("src", "cand").distinct()
     hist = pair_weights(log).join(wanted.select("src").distinct(), "src", "left_semi").join(unit, F.col("dst") == F.col("id"), "left").select("src", "dst", "w", F.col("vec").alias("hv"))
-    cands = wanted.join(unit.select(F.col("id").alias("cand"), F.col("vec").alias("cv")), "cand", "left")
-    sims = cands.join(hist, "src").select("src", "cand", "dst", "w", F.coalesce(F.round(dot(F.col("cv"), F.col("hv")), 12), F.lit(0.0)).alias("sim"))
+    cands = wanted.join(unit.select(F.col("id").alias("cand"), F.col("vec").alias("cv")), "cand")  # the others' cosines are all 0
+    sims = cands.join(hist, "src").select("src", "cand", "dst", "w", F.coalesce(F.when(F.col("hv").isNotNull(), F.round(dot(F.col("cv"), F.col("hv")), 12)), F.lit(0.0)).alias("sim"))
     best = Window.partitionBy("src", "cand").orderBy(F.desc("sim"), F.asc("dst"))
     run = F.sum("w").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     part = F.greatest(F.lit(0), F.least(F.col("w"), 3 - (run - F.col("w"))))
