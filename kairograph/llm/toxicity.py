@@ -8,12 +8,12 @@ differences: the mean over all its bytes, and the largest means over windows of
 ``WINDOWS`` bytes, which a few toxic words in a long document raise as much as
 in a short one. A logistic regression of these numbers gives the score; it is
 fitted on a bounded sample of the labelled training rows that the models were
-not counted from (``SAMPLE`` rows; the bound is a parameter). The counts cover
+not counted from (``SAMPLE`` ids; the bound is a parameter). The counts cover
 all other labelled training rows.
 
-Only rows with ``crc32(id as text) mod FOLDS <> 0`` are learnt from. Of these, rows
-with that remainder 1 fit the regression and the rest the models, so the
-regression meets texts as unknown as those scored later.
+Only rows with ``crc32(id as text) mod FOLDS <> 0`` are learnt from. Of the ids with
+that remainder 1, the first ``SAMPLE`` by hash fit the regression, so that it meets
+texts as unknown as those scored later; all other rows are counted.
 
 Defined cases: null and empty texts score as the prior of the fitted rows allows
 (all differences zero); without fitted labels of both classes every score is next
@@ -81,12 +81,14 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """``(id, held_out, score, predicted)``, one row per row of ``docs``."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("cls"))
     learn = marks.withColumn("fold", _remainder("__id")).where("fold <> 0")
+    chosen = learn.where("fold = 1").orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", F.lit(True).alias("fits"))
+    learn = learn.join(F.broadcast(chosen), "__id", "left").select("__id", "cls", F.coalesce("fits", F.lit(False)).alias("fits"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = texts.join(small(learn), F.col("id") == F.col("__id")).select("id", "text", "cls", "fold")
-    model = kneser.fit(known.where("fold <> 1").select("text", "cls"), ORDER, 2, SHARED)
+    known = texts.join(small(learn), F.col("id") == F.col("__id")).select("id", "text", "cls", "fits")
+    model = kneser.fit(known.where("NOT fits").select("text", "cls"), ORDER, 2, SHARED)
     scorer = kneser.Scorer(texts, model, lambda v: v.select("g", (F.col("v1") - F.col("v0")).cast("float").alias("v")), limit=limit)
-    fitting = scorer.score(known.where("fold = 1").select("id", "text", "cls"), describe, FEATURES, text=False).select("id", "cls", *FEATURES)
-    rows = fitting.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    fitting = scorer.score(known.where("fits").select("id", "text", "cls"), describe, FEATURES, text=False).select("id", "cls", *FEATURES)
+    rows = fitting.orderBy(F.xxhash64("id"), "id").toPandas()
     y = rows["cls"].to_numpy(np.float64)
     if len(set(y)) == 2:
         mean, scale, w = fit_logistic(rows[FEATURES].to_numpy(np.float64), y)

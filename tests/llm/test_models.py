@@ -77,3 +77,18 @@ def test_toxicity_without_labels_or_rows(spark):
     none = labels(spark, [])
     assert all(r.predicted == 0 for r in toxicity.train_and_score(docs(spark, odd_rows()), none).collect())
     assert toxicity.train_and_score(docs(spark, []), none).count() == 0
+
+
+def test_toxicity_counts_all_that_the_bounded_sample_leaves(spark, monkeypatch):
+    import zlib
+
+    counted, fit = [], kneser.fit
+    monkeypatch.setattr(kneser, "fit", lambda rows, *a: counted.extend(r.text for r in rows.collect()) or fit(rows, *a))
+    fold = {k: zlib.crc32(str(k).encode()) % 5 for k in range(400)}
+    says = {k: " vile zork " if fold[k] < 2 else " grim blag " for k in fold}
+    rows = [(k, words(20, k) + (says[k] if k % 2 else " ") + words(20, k + 999), "en") for k in fold]
+    found = toxicity.train_and_score(docs(spark, rows), labels(spark, [(k, 1, k % 2) for k in fold]), sample=20).collect()
+    learnt = [t for k, t, _ in rows if fold[k]]
+    assert len(counted) == len(learnt) - 20 and set(counted) <= set(learnt)
+    held = [r.predicted == r.doc_id % 2 for r in found if r.held_out]
+    assert sum(held) >= 0.95 * len(held)
