@@ -14,6 +14,8 @@ least name; repeated rows give repeated results; other columns are not read.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,10 @@ KNOWN = (
     ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("MIT-notice", "Licensed under the MIT License."),
+    ("MIT-notice", "Released under the MIT License."),
+    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
+    # Longer texts are files named by their identifier.
+    *((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")),
 )
 
 

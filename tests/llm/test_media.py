@@ -112,3 +112,19 @@ def test_licences_in_other_spellings(spark):
     assert found[100].canonical_sha256 == found[101].canonical_sha256 == found[805].canonical_sha256 == hashlib.sha256(b"").hexdigest()
     assert found[100].license_id is None
     assert licences.scan(docs(spark, []), licences.known_digests(spark)).count() == 0
+
+
+def test_whole_licences_and_notices_are_found(spark):
+    import duckdb
+
+    whole = ("Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense")
+    texts = dict(licences.KNOWN)
+    rows = [(k, "\n".join("  " + x for x in texts[name].upper().split("\n")), "en") for k, name in enumerate(whole)]
+    rows += [(100, "Released under the MIT license.", "en"), (101, "This work is licensed under the GNU General Public License, version 3.", None), (102, "Some prose.\n" + texts["MPL-2.0"], "en")]
+    found = {r.doc_id: r.license_id for r in licences.scan(docs(spark, rows), licences.known_digests(spark)).collect()}
+    want = {k: name for k, name in enumerate(whole)} | {100: "MIT-notice", 101: "GPL-3.0-notice", 102: None}
+    assert found == want
+    engine = duckdb.connect()
+    engine.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    engine.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {i: name for i, _, name in engine.sql(licences.OP4_SQL).fetchall()} == want
