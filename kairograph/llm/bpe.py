@@ -11,8 +11,9 @@ task keeps of earlier batches (``KEEP`` words at most) only saves time.
 Defined cases: a null text is an empty text; an empty text has no token, the
 digest of no bytes, and decodes to itself; repeated rows give repeated results;
 an empty table gives an empty one; columns other than the id and the text are
-not read. A pre-token without white space takes one round per merge, so texts
-are encoded whole whatever their length.
+not read. A query holds a bounded number of rounds and starts from the state that
+the last one left, so texts are encoded whole whatever their length, in memory
+proportional to it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ KEEP = 250_000
 #: Words of one recursive query.
 WORDS_A_QUERY = 16_000
 
+#: Rows of all rounds of one recursive query, about; what is not yet ended goes on in the next query.
+ROWS_A_QUERY = 2_000_000
+#: Bytes from which a word has all its pairs of minimum rank contracted in one round.
+LONG_WORD = 256
+
 #: ``state`` holds token-position rows with the token to the right; positions stay dense.
 ENCODE_SQL = """
 WITH RECURSIVE state(round, word, pos, token, next) AS (
@@ -43,7 +49,7 @@ WITH RECURSIVE state(round, word, pos, token, next) AS (
   UNION ALL (
     WITH least AS (
       SELECT s.word, min(m.token::BIGINT * 4294967296 + s.pos) AS packed
-      FROM state s JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next GROUP BY s.word
+      FROM state s JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next WHERE s.round < {rounds} GROUP BY s.word
     ), best AS (
       SELECT word, (packed & 4294967295)::INTEGER AS pos, (packed >> 32)::INTEGER AS token FROM least
     ), merged AS (
@@ -56,7 +62,37 @@ WITH RECURSIVE state(round, word, pos, token, next) AS (
     WHERE s.pos <> m.pos + 1
   )
 )
-SELECT round, word, pos, token FROM state
+SELECT round, word, pos, token, next FROM state
+"""
+
+#: The same for long words. A round contracts every pair of a word's minimum rank, from the left
+#: where pairs overlap, unless the token it makes is ``alone``: it has a pair of smaller rank, which goes first.
+LONG_SQL = """
+WITH RECURSIVE state(round, word, pos, token, next) AS (
+    SELECT 0, word, pos, token, next FROM words
+  UNION ALL (
+    WITH pairs AS (
+      SELECT s.word, s.pos, m.token, m.alone
+      FROM state s JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next WHERE s.round < {rounds}
+    ), least AS (
+      SELECT word, min(token) AS token FROM pairs GROUP BY word
+    ), hits AS (
+      SELECT p.*, p.pos - row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS island
+      FROM pairs p JOIN least l ON l.word = p.word AND l.token = p.token
+    ), placed AS (
+      SELECT *, min(pos) OVER (PARTITION BY word) AS leftmost, min(pos) OVER (PARTITION BY word, island) AS first FROM hits
+    ), merged AS (
+      SELECT word, pos, token FROM placed WHERE CASE WHEN alone THEN pos = leftmost ELSE (pos - first) % 2 = 0 END
+    ), kept AS (
+      SELECT s.round, s.word, s.pos, coalesce(m.token, s.token) AS token
+      FROM state s JOIN least l ON l.word = s.word LEFT JOIN merged m ON m.word = s.word AND m.pos = s.pos
+      LEFT JOIN merged g ON g.word = s.word AND g.pos = s.pos - 1 WHERE g.word IS NULL
+    )
+    SELECT round + 1, word, (row_number() OVER w - 1)::INTEGER, token::INTEGER, coalesce(lead(token) OVER w, -1)::INTEGER
+    FROM kept WINDOW w AS (PARTITION BY word ORDER BY pos)
+  )
+)
+SELECT round, word, pos, token, next FROM state
 """
 
 DECODE_SQL = """
@@ -88,7 +124,10 @@ class Codec:
                 if left is not None and right is not None:
                     pairs.append(left * 65536 + right)
                     merged.append(rank)
-        self._put("merges", pair=pa.array(pairs, pa.int64()), token=pa.array(merged, pa.int64()))
+        made, smallest = np.array(merged, np.int64), np.full(65536, np.iinfo(np.int64).max)
+        for side in (np.array(pairs, np.int64) >> 16, np.array(pairs, np.int64) & 65535):
+            np.minimum.at(smallest, side, made)
+        self._put("merges", pair=pa.array(pairs, pa.int64()), token=pa.array(merged, pa.int64()), alone=pa.array(smallest[made] < made))
         self._put("vocabulary", token=pa.array(list(ranks.values()), pa.int64()), bytes=pa.array(list(ranks), pa.binary()))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
@@ -110,26 +149,41 @@ class Codec:
         ids = [self.ranks.get(w, -1) for w in words]
         parts = [(np.flatnonzero(whole := np.array(ids) >= 0), np.zeros(whole.sum(), np.int64), np.array(ids)[whole])]
         rest = np.flatnonzero(~whole)
-        for at in range(0, len(rest), WORDS_A_QUERY):
-            part = rest[at : at + WORDS_A_QUERY]
+        for part, query in self._portions(rest, np.array([len(words[i]) for i in rest], np.int64)):
             own = [words[i] for i in part]
             lengths = np.array([len(w) for w in own], np.int64)
             ends = np.cumsum(lengths)
             token = self.single[np.frombuffer(b"".join(own), np.uint8)]
             after = np.append(token[1:], -1)
             after[ends - 1] = -1
-            small = {"word": np.repeat(np.arange(len(own)), lengths), "pos": np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), "token": token, "next": after}
-            self._put("words", **{k: pa.array(v, pa.int32()) for k, v in small.items()})
-            found = self.db.sql(ENCODE_SQL).to_arrow_table()
-            turn, word = found["round"].to_numpy(), found["word"].to_numpy()
-            last = np.zeros(len(own), turn.dtype)
-            np.maximum.at(last, word, turn)
-            ended = turn == last[word]
-            parts.append((part[word[ended]], found["pos"].to_numpy()[ended], found["token"].to_numpy()[ended]))
+            state = {"word": np.repeat(np.arange(len(own)), lengths), "pos": np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), "token": token, "next": after}
+            while len(state["word"]):
+                self._put("words", **{k: pa.array(v, pa.int32()) for k, v in state.items()})
+                rounds = max(1, ROWS_A_QUERY // len(state["word"]))
+                found = {k: c.to_numpy() for k, c in zip(("round", *state), self.db.sql(query.format(rounds=rounds)).to_arrow_table().columns, strict=True)}
+                turn, word = found["round"], found["word"]
+                last = np.zeros(len(own), turn.dtype)
+                np.maximum.at(last, word, turn)
+                final = turn == last[word]
+                ended = final & (turn < rounds)
+                parts.append((part[word[ended]], found["pos"][ended], found["token"][ended]))
+                more = final & (turn == rounds)
+                state = {k: found[k][more] for k in state}
         word, pos, token = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, word))
         return token[order].astype(np.int64), np.bincount(word, minlength=len(words))
 
+    @staticmethod
+    def _portions(rest: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, str]]:
+        """Words of one recursive query each: at most ``WORDS_A_QUERY`` and, but for a longer word alone, a quarter of ``ROWS_A_QUERY`` bytes."""
+        for query, own in ((ENCODE_SQL, lengths < LONG_WORD), (LONG_SQL, lengths >= LONG_WORD)):
+            words, sizes, at = rest[own], np.cumsum(lengths[own]), 0
+            while at < len(words):
+                before = sizes[at - 1] if at else 0
+                end = min(at + WORDS_A_QUERY, max(at + 1, int(np.searchsorted(sizes, before + ROWS_A_QUERY // 4, "right"))))
+                yield words[at:end], query
+                at = end
+
     def decoded(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Bytes of each run of ids by the ordered aggregation; a run of none has no bytes."""
         ends = np.cumsum(counts)

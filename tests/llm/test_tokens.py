@@ -77,3 +77,28 @@ def test_frequent_table_is_bounded_and_right():
 def test_empty_tables(spark):
     assert bpe.digests(docs(spark, []), RANKS, P.PATTERN).count() == 0
     assert tokencount.token_counts(docs(spark, []), JSON).count() == 0
+
+
+def test_long_words_are_encoded_in_bounded_memory(encoding, monkeypatch):
+    import random
+
+    letters = random.Random(5)
+    own = bpe.Codec(bpe.load_ranks(RANKS), P.PATTERN)
+    largest, db = [], own.db
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(db, name)
+
+        def sql(self, query):
+            found = db.sql(query).to_arrow_table()
+            largest.append(len(found))
+            return type("Found", (), {"to_arrow_table": lambda _: found})()
+
+    monkeypatch.setattr(own, "db", Counting())
+    words = ["-" * 100_000, "日本語文字" * 300, "a" * 257, "ab" * 140, "".join(letters.choices("etaoinshr", k=4000)), "".join(letters.choices("théré", k=300)), *("".join(letters.choices("abcdehlnrst", k=n)) for n in range(2, 300, 3))]
+    ids, counts = own.words([w.encode() for w in words])
+    ends = counts.cumsum()
+    for word, a, b in zip(words, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == encoding.encode_ordinary(word)
+    assert max(largest) <= 2 * bpe.ROWS_A_QUERY
