@@ -4,16 +4,20 @@ Each Arrow batch is split into pre-tokens; the distinct ones that are no single
 token become token-position rows ``(word, position, token)`` of a DuckDB
 database inside the worker. A recursive query joins adjacent rows with the
 merge table, contracts each word's leftmost pair of minimum rank, and goes on
-until no word has a pair left. Decoding is an ordered aggregation of the tokens'
-bytes. Both need no shuffle: a task works on its own rows only, and what a
-task keeps of earlier batches (``KEEP`` words at most) only saves time.
+until no word has a pair left. In words of ``LONG_WORD`` bytes and more a round
+contracts that pair and every other whose turn cannot be changed by the rest of
+the word, so the rounds do not grow with the word. Decoding joins the rows
+``(document, position, token)`` of whole documents with the vocabulary and is an
+ordered aggregation of the tokens' bytes. Both need no shuffle: a task works on
+its own rows only, and what a task keeps of earlier batches (``KEEP`` words at
+most) only saves time. Words are told apart by their bytes, not by a hash.
 
 Defined cases: a null text is an empty text; an empty text has no token, the
 digest of no bytes, and decodes to itself; repeated rows give repeated results;
 an empty table gives an empty one; columns other than the id and the text are
-not read. A query holds a bounded number of rounds and starts from the state that
-the last one left, so texts are encoded whole whatever their length, in memory
-proportional to it.
+not read. Texts and words are encoded whole whatever their length: a query holds
+a bounded number of rounds or ids and starts from the state that the last one
+left, so memory is in proportion to the longest text.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,16 @@ from .pretokens import Classes, split
 from .session import table
 from .textbytes import pieces, release
 
-#: Words that a task remembers from one batch to the next.
-KEEP = 250_000
+#: Words that a task remembers from one batch to the next, and the longest of them in bytes.
+KEEP, LONGEST = 250_000, 64
 #: Words of one recursive query.
 WORDS_A_QUERY = 16_000
 
+#: Ids of one decoding query.
+IDS_A_QUERY = 1_000_000
 #: Rows of all rounds of one recursive query, about; what is not yet ended goes on in the next query.
 ROWS_A_QUERY = 2_000_000
-#: Bytes from which a word has all its pairs of minimum rank contracted in one round.
+#: Bytes from which a word has a pair contracted wherever none near it has a smaller rank, not only its leftmost pair of minimum rank.
 LONG_WORD = 256
 
 #: ``state`` holds token-position rows with the token to the right; positions stay dense.
@@ -65,31 +70,37 @@ WITH RECURSIVE state(round, word, pos, token, next) AS (
 SELECT round, word, pos, token, next FROM state
 """
 
-#: The same for long words. A round contracts every pair of a word's minimum rank, from the left
-#: where pairs overlap, unless the token it makes is ``alone``: it has a pair of smaller rank, which goes first.
+#: The same for long words, many contractions a round. ``pos`` is the token's first byte, and stays. No token is longer than
+#: ``{reach}`` bytes over these words, so a contraction further away cannot touch a pair before its own turn: a pair goes
+#: at once if none within reach has a smaller rank. Of equal ranks within reach the leftmost goes; where the token made
+#: has no pair of a smaller rank (not ``alone``), all of them do, every other one in a run of overlapping pairs.
 LONG_SQL = """
 WITH RECURSIVE state(round, word, pos, token, next) AS (
     SELECT 0, word, pos, token, next FROM words
   UNION ALL (
     WITH pairs AS (
-      SELECT s.word, s.pos, m.token, m.alone
-      FROM state s JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next WHERE s.round < {rounds}
+      SELECT s.word, s.pos, s.n, m.token, m.alone
+      FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM state WHERE round < {rounds}) s
+      JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next
+    ), near AS (
+      SELECT *, n - row_number() OVER (PARTITION BY word, token ORDER BY n) AS island,
+        min(token) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS before,
+        min(token) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 2 * {reach} FOLLOWING) AS behind
+      FROM pairs
     ), least AS (
-      SELECT word, min(token) AS token FROM pairs GROUP BY word
-    ), hits AS (
-      SELECT p.*, p.pos - row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS island
-      FROM pairs p JOIN least l ON l.word = p.word AND l.token = p.token
+      SELECT *, coalesce(before >= token, true) AND coalesce(behind >= token, true) AS safe FROM near
     ), placed AS (
-      SELECT *, min(pos) OVER (PARTITION BY word) AS leftmost, min(pos) OVER (PARTITION BY word, island) AS first FROM hits
+      SELECT word, pos, token, alone, safe AND coalesce(before > token, true) AS leftmost,
+        bool_and(safe) OVER run AND row_number() OVER run % 2 = 1 AS odd
+      FROM least WINDOW run AS (PARTITION BY word, token, island ORDER BY n)
     ), merged AS (
-      SELECT word, pos, token FROM placed WHERE CASE WHEN alone THEN pos = leftmost ELSE (pos - first) % 2 = 0 END
+      SELECT word, pos, token FROM placed WHERE CASE WHEN alone THEN leftmost ELSE odd END
     ), kept AS (
-      SELECT s.round, s.word, s.pos, coalesce(m.token, s.token) AS token
-      FROM state s JOIN least l ON l.word = s.word LEFT JOIN merged m ON m.word = s.word AND m.pos = s.pos
-      LEFT JOIN merged g ON g.word = s.word AND g.pos = s.pos - 1 WHERE g.word IS NULL
+      SELECT s.round, s.word, s.pos, coalesce(m.token, s.token) AS token, lag(m.pos) OVER (PARTITION BY s.word ORDER BY s.pos) AS gone
+      FROM state s LEFT JOIN merged m ON m.word = s.word AND m.pos = s.pos WHERE s.word IN (SELECT word FROM merged)
     )
-    SELECT round + 1, word, (row_number() OVER w - 1)::INTEGER, token::INTEGER, coalesce(lead(token) OVER w, -1)::INTEGER
-    FROM kept WINDOW w AS (PARTITION BY word ORDER BY pos)
+    SELECT round + 1, word, pos, token::INTEGER, coalesce(lead(token) OVER (PARTITION BY word ORDER BY pos), -1)::INTEGER
+    FROM kept WHERE gone IS NULL
   )
 )
 SELECT round, word, pos, token, next FROM state
@@ -115,8 +126,15 @@ class Codec:
         import tiktoken
 
         self.ranks = ranks
-        self.known: dict[int, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "autoinstall_known_extensions": "false"})
+        self.known: dict[bytes, tuple[str, int, bytes]] = {}
+        # Nothing is spilled to a worker's own disk: a query that needs more memory than this fails its task.
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "autoinstall_known_extensions": "false"})
+        self.db.execute("SET enable_progress_bar = false")
+        #: The longest token that each byte occurs in.
+        self.reach = np.zeros(256, np.int64)
+        for token in ranks:
+            own = np.frombuffer(token, np.uint8)
+            self.reach[own] = np.maximum(self.reach[own], len(token))
         pairs, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -157,10 +175,11 @@ class Codec:
             after = np.append(token[1:], -1)
             after[ends - 1] = -1
             state = {"word": np.repeat(np.arange(len(own)), lengths), "pos": np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), "token": token, "next": after}
+            reach = int(self.reach[np.frombuffer(b"".join(own), np.uint8)].max())
             while len(state["word"]):
                 self._put("words", **{k: pa.array(v, pa.int32()) for k, v in state.items()})
                 rounds = max(1, ROWS_A_QUERY // len(state["word"]))
-                found = {k: c.to_numpy() for k, c in zip(("round", *state), self.db.sql(query.format(rounds=rounds)).to_arrow_table().columns, strict=True)}
+                found = {k: c.to_numpy() for k, c in zip(("round", *state), self.db.sql(query.format(rounds=rounds, reach=reach)).to_arrow_table().columns, strict=True)}
                 turn, word = found["round"], found["word"]
                 last = np.zeros(len(own), turn.dtype)
                 np.maximum.at(last, word, turn)
@@ -185,50 +204,49 @@ class Codec:
                 at = end
 
     def decoded(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """Bytes of each run of ids by the ordered aggregation; a run of none has no bytes."""
-        ends = np.cumsum(counts)
-        self._put("encoded", word=pa.array(np.repeat(np.arange(len(counts)), counts)), pos=pa.array(np.arange(len(ids)) - np.repeat(ends - counts, counts)), token=pa.array(ids))
-        found = self.db.sql(DECODE_SQL).to_arrow_table().combine_chunks()
+        """Bytes of each run of ids by the ordered aggregation, ``IDS_A_QUERY`` at a time; a run of none has no bytes."""
+        run, pos = np.repeat(np.arange(len(counts)), counts), np.arange(len(ids))
         out = [b""] * len(counts)
-        if len(found):
+        for a in range(0, len(ids), IDS_A_QUERY):
+            part = slice(a, a + IDS_A_QUERY)
+            self._put("encoded", word=pa.array(run[part]), pos=pa.array(pos[part]), token=pa.array(ids[part], pa.int64()))
+            found = self.db.sql(DECODE_SQL).to_arrow_table().combine_chunks()
             lists = pa.concat_arrays(found["parts"].chunks)
-            items = lists.flatten()
-            kind = items.cast(pa.large_binary())
+            kind = lists.flatten().cast(pa.large_binary())
             data, at = kind.buffers()[2].to_pybytes(), np.frombuffer(kind.buffers()[1], np.int64)[kind.offset : kind.offset + len(kind) + 1]
             edges = at[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])].tolist()
             for i, word in enumerate(found["word"].to_pylist()):
-                out[word] = data[edges[i] : edges[i + 1]]
+                out[word] += data[edges[i] : edges[i + 1]]
         return out
 
-    def learn(self, keys: list[int], words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """Per word: its ids as text, and as the bytes of an array of longs."""
         ids, counts = self.words(words)
-        names = list(map(str, ids.tolist()))
+        names, raw = list(map(str, ids.tolist())), ids.tobytes()
         ends = np.cumsum(counts).tolist()
-        start = 0
-        for key, end, back in zip(keys, ends, self.decoded(ids, counts), strict=True):
-            self.known[key] = (",".join(names[start:end]), end - start, back)
-            start = end
+        starts = [0, *ends[:-1]] if ends else []
+        return {word: (",".join(names[a:b]), raw[8 * a : 8 * b]) for word, a, b in zip(words, starts, ends, strict=True)}
 
-    def batch(self, texts: list[str]) -> Iterator[tuple[list[str], int, list[bytes]]]:
-        """Per text: its words' ids as text, the number of ids, and its words' decoded bytes."""
+    def batch(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """Per text its words' ids as text; all texts' ids one after another; and each text's number of ids."""
         parts = split(texts, self.classes)
-        distinct, at, back = np.unique(parts.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > KEEP:
+        at, back = parts.distinct(parts.hashes())
+        words = parts.words(at)
+        found = self.learn([w for w in words if w not in self.known])
+        entries = [self.known[w] if w in self.known else found[w] for w in words]
+        short = {w: x for w, x in found.items() if len(w) <= LONGEST}
+        if len(self.known) + len(short) > KEEP:
             self.known.clear()
-        keys = distinct.tolist()
-        new = np.array([i for i, k in enumerate(keys) if k not in self.known], np.int64)
-        if len(new):
-            raw = parts.data.tobytes()
-            starts, ends = parts.starts[at[new]].tolist(), parts.ends[at[new]].tolist()
-            self.learn([keys[i] for i in new], [raw[s:e] for s, e in zip(starts, ends, strict=True)])
-        found = [self.known[k] for k in keys]
-        counts = np.array([x[1] for x in found], np.int64)[back] if keys else np.zeros(0, np.int64)
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        names, bodies = (np.array([x[k] for x in found] + [None], object)[:-1][back].tolist() for k in (0, 2))
+        if len(short) <= KEEP:
+            self.known.update(short)
+        sizes = np.array([len(x) // 8 for _, x in entries], np.int64)
+        first = np.cumsum(sizes) - sizes
+        each = sizes[back]
+        sums = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join([x for _, x in entries]), np.int64)[np.repeat(first[back] - sums[:-1], each) + np.arange(sums[-1])]
+        names = np.array([x for x, _ in entries] + [None], object)[:-1][back].tolist()
         bounds = parts.first.tolist()
-        for i in range(len(texts)):
-            a, b = bounds[i : i + 2]
-            yield names[a:b], int(sums[b] - sums[a]), bodies[a:b]
+        return [names[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], ids, np.diff(sums[parts.first])
 
 
 _codecs: dict[str, Codec] = {}
@@ -252,20 +270,27 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>)`` of every text, in the order of the text."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    return _mapped(docs, ranks, pattern, id_col, text_col, "ids array<int>", lambda names, n, bodies: {"ids": [int(x) for w in names for x in w.split(",")]})
+
+    def columns(own: Codec, texts: list[str]) -> list[pa.Array]:
+        _, ids, counts = own.batch(texts)
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))]
+
+    return _mapped(docs, ranks, pattern, id_col, text_col, "ids array<int>", columns)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: encoded, decoded again, and digested where the ids are made."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256)``: encoded, every document's ids decoded, and both digested where they are made."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
-    def row(names: list[str], n: int, bodies: list[bytes]) -> dict:
-        return {"n_tokens": n, "ids_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(b"".join(bodies)).hexdigest()}
+    def columns(own: Codec, texts: list[str]) -> list[pa.Array]:
+        names, ids, counts = own.batch(texts)
+        shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+        return [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in own.decoded(ids, counts)], pa.string())]
 
-    return _mapped(docs, ranks, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs, ranks, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
-def _mapped(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, columns: str, row) -> DataFrame:
+def _mapped(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, columns: str, made) -> DataFrame:
     source = docs.select(F.col(id_col), F.col(text_col))
     kind = source.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
@@ -275,9 +300,8 @@ def _mapped(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, co
         own = codec(ranks, pattern)
         for batch in batches:
             for a, b, texts in _slices(batch):
-                rows = [row(*x) for x in own.batch(texts)]
-                made = [pa.array([r[f.name] for r in rows], f.type) for f in list(schema)[1:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(schema.field(0).type), *made], schema=schema)
+                found = [x.cast(f.type) for x, f in zip(made(own, texts), list(schema)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(schema.field(0).type), *found], schema=schema)
         own.known.clear()
         release()
 

@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from .textbytes import span_hashes
+from .textbytes import distinct_spans, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 
@@ -67,6 +67,15 @@ class PreTokens:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
+    def distinct(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One occurrence of each different pre-token, and each occurrence's place among these."""
+        return distinct_spans(self.data, self.starts, self.ends, hashes)
+
+    def words(self, at: np.ndarray) -> list[bytes]:
+        """The bytes of some pre-tokens."""
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
 
 def split(texts: list[str], classes: Classes) -> PreTokens:
     joined = "\0".join(texts) + "\0"

@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
-#: Odd multiplier of the prefix hash (modulo 2**64) and its inverse.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of a word that are hashed and compared as whole arrays; what is longer goes to the library one by one.
+_WIDE = 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,6 @@ def pieces(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, np.ndarray,
 
 def release() -> None:
     """Gives free memory back at the end of a task: workers live on, and their executors' memory is shared."""
-    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -64,17 +63,6 @@ def release() -> None:
         trim(0)
 
 
-def _power(kind: str, size: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < size:
-        steps = np.full(max(size, SLICE_BYTES + 4096), _BASE if kind == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 4 * SLICE_BYTES:
-            _powers[kind] = have
-    return have[:size]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))
@@ -84,11 +72,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes hash alike wherever they stand."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of the byte spans; equal bytes hash alike wherever they stand.
+
+    Eight bytes at a time go through ``mix``, so no pattern of bytes cancels out.
+    Different bytes may still share a hash: ``distinct_spans`` compares them.
+    """
+    n = ends - starts
+    eight = _words_at(data)
+    h = mix(n.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    wide = np.flatnonzero(n > _WIDE)
+    for at in range(0, int(min(n.max(initial=0), _WIDE)), 8):
+        own = np.flatnonzero((n > at) & (n <= _WIDE))
+        h[own] = mix((h[own] ^ (eight[starts[own] + at] & _MASKS[np.minimum(n[own] - at, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+    if len(wide):
+        h[wide] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)]
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of its span of ``other``."""
+    n = ends - starts
+    same = n == to - from_
+    left, right = _words_at(data), _words_at(other) if other is not data else None
+    right = left if right is None else right
+    for at in range(0, int(min(n.max(initial=0), _WIDE)), 8):
+        own = np.flatnonzero(same & (n > at) & (n <= _WIDE))
+        same[own] = ((left[starts[own] + at] ^ right[from_[own] + at]) & _MASKS[np.minimum(n[own] - at, 8)]) == 0
+    for i in np.flatnonzero(same & (n > _WIDE)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[from_[i] : to[i]])
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One occurrence of each different span, and each occurrence's place among these; hashes only group, bytes decide."""
+    _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_spans(data, starts, ends, data, starts[at[back]], ends[at[back]]))
+    if len(odd):
+        more: dict[bytes, int] = {}
+        extra: list[int] = []
+        for i in odd.tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in more:
+                more[word] = len(at) + len(extra)
+                extra.append(i)
+            back[i] = more[word]
+        at = np.concatenate([at, extra])
+    return at, back
 
 
 _SPACE = np.zeros(256, bool)

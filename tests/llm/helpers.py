@@ -55,6 +55,24 @@ def near_components(rows):
     return [(r[0], f"{p:016x}", min((x for x in ids[g] if x is not None), default=None)) for r, p, g in zip(rows, prints, group, strict=True)]
 
 
+def one_of_each(rows):
+    """The rows of ``(doc_id, text, ...)`` that stay, by their place: every pair of rows is compared, and of each group that
+    comes of it the row with the least id (none last), then text hashes, then other columns stays."""
+    prints = [fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+
+    def order(k):
+        i, t, *others = rows[k]
+        return (i is None, i or 0, hash_of(t), hash_of(t, hash_of("text")), [(x is not None, x or "") for x in others])
+
+    return sorted(min((k for k in range(len(rows)) if group[k] == g), key=order) for g in set(group))
+
+
 def dedup_lines(rows):
     """Texts without the later occurrences of three-line windows. Rows equal in id and text count once."""
     seen, cover = {}, defaultdict(set)
@@ -68,12 +86,22 @@ def dedup_lines(rows):
     return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cover[i is not None, i if i is not None else 0, t]), g) for i, t, g in rows]
 
 
-def hash_of(text):
-    """The text hash that orders rows of one id, signed as in the engine."""
-    h = xxhash.xxh64_intdigest(text.encode(), 42)
+def hash_of(text, seed=42):
+    """The text hash that orders rows of one id, signed as in the engine; a null passes the seed on."""
+    if text is None:
+        return seed
+    h = xxhash.xxh64_intdigest(text.encode(), seed & (1 << 64) - 1)
     return h - (1 << 64) if h >> 63 else h
 
 
+def thue_morse(n):
+    """Two words of n (a power of two) letters that sums with powers of a base cannot tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def contained(rows, items):
     """``(doc_id, text, item_id, shared, size)`` by comparing every document with every item."""
     grams = lambda t: {" ".join(w[k : k + 5]) for w in [[x for x in split(t) if x]] for k in range(len(w) - 4)}
@@ -89,14 +117,16 @@ def contained(rows, items):
 
 
 class Kneser:
-    """Interpolated modified Kneser-Ney over bytes, one class, from dictionaries."""
+    """Interpolated modified Kneser-Ney over bytes, from dictionaries: the classes' own counts above ``shared`` bytes, those of all below."""
 
-    def __init__(self, texts, order, discounts):
+    def __init__(self, texts, order, discounts, own=None, shared=None):
+        """``texts`` of all classes; ``own`` those of the class whose model this is (all of them by default)."""
+        own, shared = texts if own is None else own, order - 1 if shared is None else shared
         self.order = order
-        top = Counter(g for t in texts for g in self.grams(t))
-        self.levels = {order: dict(top)}
+        every, top = ({g for t in x for g in self.grams(t)} for x in (texts, own))
+        self.levels = {order: dict(Counter(g for t in own for g in self.grams(t)))}
         for k in range(order - 1, 0, -1):
-            types = {g[-(k + 1) :] for g in top}
+            types = {g[-(k + 1) :] for g in (every if k <= shared else top)}
             self.levels[k] = dict(Counter(g[1:] for g in types))
         self.d = {k: discounts(dict(Counter(min(c, 5) for c in v.values()))) for k, v in self.levels.items()}
         self.contexts = {}

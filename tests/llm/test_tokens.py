@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
@@ -10,9 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kairograph.llm import bpe, pretokens, tokencount
+from kairograph.llm import bpe, pretokens, textbytes, tokencount
 
-from .helpers import LONG, docs, odd_rows
+from .helpers import LONG, docs, odd_rows, thue_morse
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -68,10 +69,35 @@ def test_counts_are_those_of_the_library(spark):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 512)
 
 
-def test_frequent_table_is_bounded_and_right():
+def test_frequent_table_is_bounded_and_right(spark):
     text = open(JSON, encoding="utf-8").read()
-    hashes, lengths = tokencount.frequent_table(text)
-    assert 10_000 < len(hashes) <= 50_257 and lengths.min() >= 1
+    table = tokencount.frequent_table(text, docs(spark, rows()).select("text"))
+    assert 10_000 < len(table) <= 50_257 + tokencount.SAMPLE_WORDS and table.counts.min() >= 1
+    own = tokencount.Counter(text, tokencount.Frequent([], []))
+    seen = pretokens.split([LONG], own.classes)
+    words = seen.words(np.arange(len(seen.starts)))
+    counts = table.find(seen, np.arange(len(words)), seen.hashes())
+    assert (counts > 0).mean() > 0.9
+    assert counts[counts > 0].tolist() == own.encoded([w.decode() for w, n in zip(words, counts, strict=True) if n > 0])
+
+
+def test_words_of_one_hash_are_kept_apart(spark, encoding, monkeypatch):
+    """With all hashes equal, bytes alone decide; and real hashes part words that sums of powers do not."""
+    pair = thue_morse(1024)
+    data = np.frombuffer("".join(pair).encode(), np.uint8)
+    assert len(set(textbytes.span_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    texts = [pair[0], pair[1], "so " + pair[1] + " on", "one two one", "two 🙂 é", "x" * 300, "y" * 300, "x" * 300]
+    for flat in (False, True):
+        if flat:
+            monkeypatch.setattr(pretokens.PreTokens, "hashes", lambda self: np.zeros(len(self.starts), np.uint64))
+            monkeypatch.setattr(tokencount, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        own = bpe.Codec(bpe.load_ranks(RANKS), P.PATTERN)
+        _, ids, counts = own.batch(texts)
+        ends = counts.cumsum()
+        assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)] == [encoding.encode_ordinary(t) for t in texts]
+        assert own.decoded(ids, counts) == [t.encode() for t in texts]
+        counter = tokencount.Counter(open(JSON, encoding="utf-8").read(), tokencount.Frequent([b"one", b" two", b" one"], [1, 1, 1]))
+        assert counter.counts(texts).tolist() == [len(counter.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_empty_tables(spark):
@@ -102,3 +128,31 @@ def test_long_words_are_encoded_in_bounded_memory(encoding, monkeypatch):
     for word, a, b in zip(words, ends - counts, ends, strict=True):
         assert ids[a:b].tolist() == encoding.encode_ordinary(word)
     assert max(largest) <= 2 * bpe.ROWS_A_QUERY
+
+
+def test_one_word_may_be_a_whole_text(encoding):
+    """50,000 letters and 50,000 ideographs without a break, in a process of its own: equal to the library, and under 500 MB."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource, sys
+from kairograph.llm import bpe, tokencount
+import public_tokenizers as P, tiktoken
+ranks, r = bpe.load_ranks({RANKS!r}), random.Random(2)
+words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=50_000)), "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(50_000))]
+if sys.argv[1] == "bpe":
+    own = bpe.Codec(ranks, P.PATTERN)
+    _, ids, counts = own.batch(words)
+    assert own.decoded(ids, counts) == [w.encode() for w in words]
+    assert counts[0] > 10_000 and ids.tolist() == [i for w in words for i in tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={{}}).encode_ordinary(w)]
+else:
+    text = open({JSON!r}, encoding="utf-8").read()
+    own = tokencount.Counter(text, tokencount.Frequent([], []))
+    assert own.counts(words).tolist() == [len(own.tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    for what in ("bpe", "count"):
+        done = subprocess.run([sys.executable, "-c", code, what], capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr
+        assert int(done.stdout) < 500
