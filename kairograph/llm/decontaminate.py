@@ -1,22 +1,33 @@
 """Benchmark decontamination by size-partitioned MinHash containment (operator 7).
 
-An item of n distinct 5-word shingles is contained if at least 0.8 n of them are
-in the document, so at most n - ceil(0.8 n) are missing, and one more than that
-many of its shingles always includes one that is there. Items are partitioned by
-their size n; each partition has its own signature length, n - ceil(0.8 n) + 1,
-and an item's MinHash signature is so many of its smallest shingle hashes. A long
-document cannot answer for a short item by a signature of fixed length, so the
-document side looks up all its shingles, in two bitmaps of a fixed size made from
-the items: one of signatures, one of all shingles. A document with no signature
-hit cannot contain any item; of the others, only shingles in the second bitmap go
-on, to be joined with the items' shingles and counted exactly. The bitmaps have
-``2 ** BITS`` bits each whatever the items' number; more items let more shingles
-through to the join, which is an ordinary shuffle join.
+An item is contained if at least 0.8 of its n distinct 5-word shingles are in the
+document. Items are partitioned by size: partition p has those of 2**p to
+2**(p + 1) - 1 shingles. An item is signed by its smallest shingle hashes. At most
+n - ceil(0.8 n) shingles of a contained item are missing, so a signature of one
+more than that always has one that the document holds. Documents are signed once
+for each partition, by all their shingles whose hash is at most the partition's
+threshold, the largest hash in the signatures of its items. Such a sketch grows
+with the document, which one of fixed length must not if a short item shall be
+found inside a long text, and it needs no windows: an item's shingles count
+wherever they stand.
+
+Search: a document is a candidate for a partition if its sketch meets a signature
+there; signatures are probed in a bitmap of ``2 ** BITS`` bits, whatever the items'
+number. Verification: the candidate's shingles that may be in the partition's items
+(a second bitmap) go on as text, and are joined with the items' shingles and counted
+exactly. Hashes and bitmaps only ever let too much through.
+
+A shingle that very many documents hold is a hot key of that join. Up to
+``small``'s limit the items' shingles are broadcast and no document row is
+shuffled by shingle; beyond it the adaptive skew join splits the key, and counts
+are combined per document and item before they are shuffled.
 
 Defined cases: words are runs of characters other than ASCII white space, in
 lower case; items of fewer than five words have no shingle and match nothing;
-null texts are empty; each row of ``docs`` counts once (rows equal in id and text
-as one); repeated items with one id are one item; empty tables give no match.
+null texts are empty; texts of any length are searched whole; rows equal in id
+and text count as one; repeated items with one id are one item (the union of
+their shingles); empty tables give no match; other columns pass through
+``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,96 +39,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import stored, table
-from .textbytes import byte_column, row_slices, shingle_hashes, span_hashes, word_spans
+from .session import small, stored, table
+from .textbytes import pieces, release, shingle_hashes, span_hashes, word_spans
 
 WORDS = 5
 #: Containment as a fraction of whole numbers.
 PARTS, OF = 4, 5
 BITS = 25
+#: Shingles of items that are broadcast at most (about 100 bytes each).
+BROADCAST_SHINGLES = 200_000
 
 
-def _shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges with their shingle hashes and each row's first."""
-    _, offsets = byte_column(texts)
-    for a, b in row_slices(offsets):
-        data, inner = byte_column(pa.array([(t or "").lower() for t in texts.slice(a, b - a).to_pylist()]))
-        starts, ends, first = word_spans(data, inner)
-        yield a, b, *shingle_hashes(span_hashes(data, starts, ends), first, WORDS)
+class _Texts:
+    """Texts of some rows in lower case, with their shingles' hashes (63 bits) and each row's first."""
+
+    def __init__(self, texts: list[str | None]):
+        column = pa.array([(t or "").lower() for t in texts], pa.large_string())
+        _, _, body = column.buffers()
+        self.data = np.frombuffer(body, np.uint8)[: len(body)] if body is not None else np.zeros(0, np.uint8)
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+        self.data = self.data[: offsets[-1]]
+        self.starts, self.ends, self.words = word_spans(self.data, offsets)
+        hashes, self.first = shingle_hashes(span_hashes(self.data, self.starts, self.ends), self.words, WORDS)
+        self.h = (hashes >> np.uint64(1)).view(np.int64)
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
+    def shingles(self, at: np.ndarray, row: np.ndarray) -> list[str]:
+        """The text of some shingles: their words with one space between."""
+        word = (self.words[row] + at - self.first[row]).tolist()
+        raw = [[self.data[self.starts[w + k] : self.ends[w + k]].tobytes() for k in range(WORDS)] for w in word]
+        return [b" ".join(x).decode() for x in raw]
 
 
 def item_shingles(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, h, n, signature)``: distinct shingles, their number, and whether they are in the signature."""
+    """``(item, p, n, s, h, signature)``: distinct shingles with their hash, the item's size and partition, and whether they sign it."""
     source = items.select(F.col(id_col).alias("item"), F.col(text_col))
     kind = source.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, h, first in _shingles(batch.column(1)):
-                rows = np.repeat(np.arange(len(first) - 1), np.diff(first)) + a
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(h.view(np.int64))], names=["item", "h"])
-
-    distinct = source.mapInArrow(run, f"item {kind}, h long").where("item IS NOT NULL").distinct()
-    sizes = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("h")).alias("hs"))
+            for a, _, offsets in pieces(batch.column(1)):
+                part = _Texts(batch.column(1).slice(a, len(offsets) - 1).to_pylist())
+                at = np.arange(len(part.h))
+                row = part.row(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(part.shingles(at, row), pa.string()), pa.array(part.h)], names=["item", "s", "h"])
+
+    distinct = source.mapInArrow(run, f"item {kind}, s string, h long").where("item IS NOT NULL").distinct()
+    sizes = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("h", "s"))).alias("all"))  # one benchmark item's shingles
     length = F.col("n") - F.expr(f"(n * {PARTS} + {OF - 1}) div {OF}") + 1
-    marked = sizes.select("item", "n", length.alias("length"), F.posexplode("hs").alias("at", "h"))
-    return marked.select("item", "h", "n", (F.col("at") < F.col("length")).alias("signature"))
+    each = sizes.select("item", "n", F.floor(F.log2("n")).cast("int").alias("p"), length.alias("length"), F.posexplode("all").alias("at", "x"))
+    return each.select("item", "p", "n", "x.s", "x.h", (F.col("at") < F.col("length")).alias("signature"))
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bitmap of the hashes, merged by words of 64 bits; at most ``2 ** BITS / 64`` rows reach the driver."""
-    place = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """The bitmap of ``shingles(p, h)``, merged by words of 64 bits; at most ``2 ** BITS / 64`` rows reach the driver."""
+    place = F.col("h").bitwiseXOR((F.col("p").cast("long") * F.lit(0x9E3779B97F4A7)).bitwiseAND(F.lit(0x7FFFFFFFFFFF))).bitwiseAND(F.lit((1 << BITS) - 1))
+    words = shingles.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bitmap = np.zeros(1 << max(0, BITS - 6), np.uint64)
     rows = words.toPandas()
     bitmap[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return bitmap
 
 
-def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h & np.uint64(64 * len(bitmap) - 1)
-    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _in(bitmap: np.ndarray, h: np.ndarray, p: int) -> np.ndarray:
+    place = (h ^ (p * 0x9E3779B97F4A7 & 0x7FFFFFFFFFFF)) & (64 * len(bitmap) - 1)
+    return (bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def text_key(text_col: str) -> list:
+    """128 bits that stand for a text in the key of its row."""
+    return [F.xxhash64(F.col(text_col)).alias("t1"), F.xxhash64(F.lit("text"), F.col(text_col)).alias("t2")]
 
 
-def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(id, th, item_id, shared, item_shingles)`` for every item contained in a document."""
+def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast: int = BROADCAST_SHINGLES) -> DataFrame:
+    """``(id, t1, t2, item_id, shared, item_shingles)`` for every item contained in a document; ``t1`` and ``t2`` are its text's hashes."""
     wanted = stored(item_shingles(items, id_col=item_col, text_col=item_text), "item-shingles")
-    maps = docs.sparkSession.sparkContext.broadcast((_bitmap(wanted.where("signature")), _bitmap(wanted)))
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    signed = wanted.where("signature")
+    thresholds = sorted((r.p, r.h) for r in signed.groupBy("p").agg(F.max("h").alias("h")).collect())  # one row a power of two
+    maps = docs.sparkSession.sparkContext.broadcast((_bitmap(signed), _bitmap(wanted)))
+    source = docs.select(F.col(id_col).alias("id"), *text_key(text_col), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature, every = maps.value
         for batch in batches:
-            for a, _, h, first in _shingles(batch.column(2)):
-                hits = np.flatnonzero(_in(every, h))
-                if not len(hits):
-                    continue
-                row = np.searchsorted(first, hits, "right") - 1
-                named = np.zeros(len(first), bool)
-                named[row[_in(signature, h[hits])]] = True
-                keep = named[row]
-                row, found = row[keep], h[hits[keep]]
-                if not len(row):
-                    continue
-                order = np.lexsort((found, row))
-                row, found = row[order], found[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
-                at = pa.array(row[new] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found[new].view(np.int64))], names=["id", "th", "h"])
-
-    hits = source.mapInArrow(run, f"id {kind}, th long, h long")
-    pairs = hits.join(wanted.select("item", "h", "n"), "h")
-    counted = pairs.groupBy("id", "th", "item", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where(f"shared * {OF} >= n * {PARTS}").select("id", "th", F.col("item").alias("item_id"), "shared", F.col("n").alias("item_shingles"))
+            for a, _, offsets in pieces(batch.column(3)):
+                part = _Texts(batch.column(3).slice(a, len(offsets) - 1).to_pylist())
+                for p, threshold in thresholds:
+                    sketch = np.flatnonzero(part.h <= threshold)
+                    met = sketch[_in(signature, part.h[sketch], p)]
+                    if not len(met):
+                        continue
+                    candidate = np.zeros(len(part.first), bool)
+                    candidate[part.row(met)] = True
+                    at = np.flatnonzero(np.repeat(candidate[:-1], np.diff(part.first)))
+                    at = at[_in(every, part.h[at], p)]
+                    row = part.row(at)
+                    found: dict[tuple[int, str], int] = {}
+                    for k, x in enumerate(zip(row.tolist(), part.shingles(at, row), strict=True)):
+                        found.setdefault(x, k)
+                    keep, texts = list(found.values()), [x for _, x in found]
+                    owner = pa.array(row[keep] + a)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in range(3)), pa.array(np.full(len(keep), p, np.int32)), pa.array(texts, pa.string())], names=["id", "t1", "t2", "p", "s"])
+        release()
+
+    hits = source.mapInArrow(run, f"id {kind}, t1 long, t2 long, p int, s string").distinct()
+    pairs = hits.join(small(wanted.select("item", "n", "p", "s"), broadcast), ["p", "s"])
+    counted = pairs.groupBy("id", "t1", "t2", "item", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where(f"shared * {OF} >= n * {PARTS}").select("id", "t1", "t2", F.col("item").alias("item_id"), "shared", F.col("n").alias("item_shingles"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """``docs`` without the rows that contain an item; columns pass through, whatever their names."""
-    found = contained_items(docs, items, id_col=id_col, text_col=text_col, **names).select(F.struct("id", "th").alias("__hit")).distinct()
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"))
-    return docs.join(found, key.eqNullSafe(F.col("__hit")), "left_anti")
+    found = contained_items(docs, items, id_col=id_col, text_col=text_col, **names).select(F.struct("id", "t1", "t2").alias("__hit")).distinct()
+    key = F.struct(F.col(id_col).alias("id"), *text_key(text_col))
+    return docs.join(small(found), key.eqNullSafe(F.col("__hit")), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
