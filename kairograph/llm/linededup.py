@@ -6,13 +6,15 @@ order of (document id, text hash, line); every later occurrence covers its three
 lines, and the union of the covered lines is removed. Only windows' hashes and
 positions are shuffled for the search. Counting a window is pre-aggregated on
 the map side; the join that marks later occurrences has one row per window on
-one side, so the engine can split a hot window's rows.
+one side, so the adaptive skew join can split a hot window's rows; it is not
+salted.
 
 Defined cases: a null text stays null and has no line; an empty text is one
 empty line; a text of fewer than three lines has no window and stays as it is;
 windows of three blank lines are ignored; rows equal in id and text are one
 document and come out alike; null ids sort first; a text whose lines are all
-covered becomes empty. Other columns pass through, whatever their names.
+covered becomes empty; texts of any length are read whole; an empty table gives an
+empty one. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,8 +18,15 @@ linear in a crowded key and loses no link.
 
 Defined cases: a null text is an empty text; a text without words has
 fingerprint zero and links like any other; a text of fewer than three words has
-one shingle of all its words; repeated rows share a fingerprint; a row without
-an id has its component's smallest id as others do (null if none has an id).
+one shingle of all its words; texts of any length are read whole; repeated rows
+share a fingerprint; a row without an id has its component's smallest id as others
+do (null if none has an id); an empty table gives an empty one; columns other than
+the id and the text are not read, whatever their names.
+
+Groups of rows are reduced to one row per fingerprint on the map side before any
+join. Only the last join, which hands the component back to every row, meets a
+fingerprint's copies again: its other side has one row per fingerprint, so it is
+broadcast while small, and beyond that the adaptive skew join splits the copies.
 """
 
 from __future__ import annotations
@@ -29,12 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .golay import nearby
-from .session import stored, table
+from .session import small, stored, table
 
 SEED = 42
 SHINGLE = 3
@@ -62,17 +69,19 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp long)``; the long has the fingerprint's bits."""
-    source = docs.select(F.col(id_col), F.col(text_col).cast("binary"))
-    kind = source.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False) -> DataFrame:
+    """``(id, fp long)``, with ``t1`` and ``t2``, hashes of the text, if they are wanted; ``fp`` has the fingerprint's bits."""
+    extra = [F.xxhash64(F.col(text_col)).alias("t1"), F.xxhash64(F.lit("text"), F.col(text_col)).alias("t2")] if text_key else []
+    source = docs.select(F.col(id_col), *extra, F.col(text_col).cast("binary").alias("__text"))
+    names = source.columns[:-1]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[id_col, "fp"])
+            made = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(len(names))), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made.view(np.int64))], names=[*names, "fp"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return source.mapInArrow(run, f"{kinds}, fp long")
 
 
 def keys(prints: DataFrame) -> DataFrame:
@@ -118,16 +127,47 @@ def links(prints: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     return joined.union(near.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b"))
 
 
+def _by_component(prints: DataFrame, key: Column, name: str) -> DataFrame:
+    """``(fp, name)``: for every fingerprint the least ``key`` of all rows in its component."""
+    groups = prints.groupBy("fp").agg(F.min(key).alias("first"))
+    roots = stored(components(links(groups)), "roots")
+    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias(name))
+    alone = groups.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("first").alias(name))
+    return linked.join(least, "root").select("fp", name).union(alone)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component_id)``, one row per row of ``docs``."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    groups = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
-    roots = stored(components(links(groups)), "roots")
-    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_linked = linked.join(smallest, "root").select("fp", "component_id")
-    alone = groups.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    return prints.join(of_linked.union(alone), "fp").select(id_col, "fp", "component_id")
+    return prints.join(_by_component(prints, F.col(id_col), "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all its columns as they are.
+
+    It is the row with the smallest id; rows without an id come last; of equal ids
+    the smaller pair of text hashes goes first; of rows equal in id and text the one
+    least in its other columns (maps aside) stays. Rows are told apart by id and
+    text, so a row is never taken for another with its id, or for another without.
+    """
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    prints = stored(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id", text_col="text", text_key=True), "fingerprints")
+    rows = prints.groupBy("fp", key.alias("key")).agg(F.count(F.lit(1)).alias("copies"))
+    placed = stored(rows.join(_by_component(prints, key, "kept"), "fp").select("key", "copies", (F.col("key") == F.col("kept")).alias("stays")), "placed")
+    own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(text_col)).alias("t1"), F.xxhash64(F.lit("text"), F.col(text_col)).alias("t2"))
+
+    def keys(condition: str) -> DataFrame:
+        return small(placed.where(condition).select(F.col("key").alias("__key")))
+
+    left = docs.join(keys("NOT stays"), own.eqNullSafe(F.col("__key")), "left_anti")
+    if placed.where("stays AND copies > 1").isEmpty():
+        return left
+    again = keys("stays AND copies > 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = left.join(again, own.eqNullSafe(F.col("__key")), "left_semi").groupBy(own.alias("__key")).agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias("__row"))
+    return left.join(again, own.eqNullSafe(F.col("__key")), "left_anti").union(first.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from kairograph.llm import decontaminate, golay, linededup, simhash
+from kairograph.llm import decontaminate, golay, linededup, session, simhash
 from kairograph.llm.components import components
 
-from .helpers import contained, dedup_lines, docs, near_components, odd_rows, words
+from .helpers import contained, dedup_lines, docs, near_components, odd_rows, one_of_each, thue_morse, words
 
 
 def key(rows):
@@ -39,6 +39,13 @@ def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rows = near_rows() + [(501, words(70, 88), "fr"), (None, words(70, 89), "fr"), (None, words(70, 89), "en"), (None, words(70, 90), None)]
+    found = simhash.keep_one(docs(spark, rows)).collect()
+    assert key((r.doc_id, r.text, r.lang) for r in found) == key(rows[k] for k in one_of_each(rows))
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
 def test_golay_spheres_cover_every_word_once():
     _, size = np.unique(golay.decode(np.arange(1 << 23)), return_counts=True)
     assert len(size) == 4096 and set(size.tolist()) == {2048}
@@ -84,10 +91,11 @@ def leak_rows():
     return rows, items
 
 
-@pytest.mark.parametrize("bits", [decontaminate.BITS, 7])
-def test_contained_items_are_those_of_all_pairs(spark, bits, monkeypatch):
+@pytest.mark.parametrize(("bits", "broadcast"), [(decontaminate.BITS, 10_000), (7, 10_000), (decontaminate.BITS, 0)])
+def test_contained_items_are_those_of_all_pairs(spark, bits, broadcast, monkeypatch):
     """With few bits the bitmaps let nearly everything through, and the join alone decides."""
     monkeypatch.setattr(decontaminate, "BITS", bits)
+    monkeypatch.setattr(decontaminate, "small", lambda d, n=broadcast: session.small(d, n and broadcast))
     rows, items = leak_rows()
     table = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contained_items(docs(spark, rows), table).collect()
@@ -99,6 +107,40 @@ def test_contained_items_are_those_of_all_pairs(spark, bits, monkeypatch):
     assert key((r.doc_id, r.text) for r in left) == key((i, t) for i, t, _ in rows if (i, t) not in gone)
 
 
+def test_repeated_rows_and_items_count_once(spark):
+    """Half of an item given twice is half of it; all of it given twice is found once; items scattered over a text are found."""
+    text = words(24, 8000).split()
+    scattered = "  ".join(" ".join(text[k : k + 5]) + f"\tx{k}" for k in range(20))
+    rows = [(1, " ".join(text[:14]), "en")] * 3 + [(2, "so " + " ".join(text) + " on", "en")] * 2 + [(3, scattered, "en"), (2, " ".join(text[:14]), "en"), (None, " ".join(text), None), (None, " ".join(text), None)]
+    items = [(1, " ".join(text)), (1, " ".join(text)), (2, " ".join(text[:12])), (2, " ".join(text[4:9])), (3, "a " + " ".join(thue_morse(1024)) + " b c d"), (4, "a " + " ".join(thue_morse(1024)[::-1]) + " b c d")]
+    rows += [(10, items[4][1], "en"), (11, items[5][1], "en")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contained_items(docs(spark, rows), table).collect()
+    grams = {item: set().union(*({" ".join(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in items if i == item)) for item, _ in items}
+    want = set()
+    for i, t, _ in rows:
+        own = {" ".join(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}
+        want |= {(i, t, item, len(own & g), len(g)) for item, g in grams.items() if 5 * len(own & g) >= 4 * len(g)}
+    assert key((r.id, r.item_id, r.shared, r.item_shingles) for r in found) == key((i, *x) for i, _, *x in want)
+    assert {(3, 1, 20, 20), (2, 1, 20, 20), (10, 3, 2, 2), (11, 4, 2, 2)} <= {(r.id, r.item_id, r.shared, r.item_shingles) for r in found}
+    assert not {(10, 4), (11, 3), (1, 1)} & {(r.id, r.item_id) for r in found}
+
+
+def test_every_partition_finds_what_all_pairs_find(spark):
+    """Items of many sizes, with all, just enough, and one too few of their shingles in long documents."""
+    r = random.Random(1)
+    items, rows = [], []
+    for k, n in enumerate([5, 6, 9, 12, 20, 33, 64, 65, 130, 300]):
+        item = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        items.append((k, " ".join(item)))
+        size = n - 4
+        for j, missing in enumerate((0, size - -(-size * 4 // 5), size - -(-size * 4 // 5) + 1)):
+            rows.append((100 * k + j, words(300, j) + " " + " ".join(item[: n - missing]) + " " + words(500, k), "en"))
+    found = decontaminate.contained_items(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = contained(rows, items)
+    assert key((x.id, x.item_id, x.shared) for x in found) == key((i, item, s) for i, _, item, s, _ in want) and len(want) == 20
+
+
 def test_nothing_to_contain(spark):
     rows, _ = leak_rows()
     empty = spark.createDataFrame([], "item_id long, text string")
