@@ -12,7 +12,8 @@ found by joining those n-grams, at every order, with the sharded counts. How the
 values come back to the texts depends on their measured number: up to
 ``BROADCAST_GRAMS`` they are broadcast; beyond, texts are dealt into blocks, and
 each block is grouped with the values of its own n-grams. Both ways give the
-same scores.
+same scores. A block holds whole rows, dealt by a hash of all their columns: give
+rows an id, so that copies of one text are spread.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -203,9 +205,20 @@ def values(model: Model, wanted: DataFrame) -> DataFrame:
     """``(g, v0, ...)``: the natural logarithm of every wanted n-gram's probability, by class."""
     n, shared = model.order, model.shared
     levels = [*range(1, shared + 1), *(OWN * (c + 1) + k for c in range(model.classes) for k in range(shared + 1, n + 1))]
-    parts = [F.struct(F.lit(k).alias("k"), F.col("q").bitwiseAND(F.lit(_mask(k % OWN))).alias("g")) for k in levels]
-    asked = wanted.select(F.col("g").alias("q")).select("q", F.explode(F.array(*parts)).alias("s")).select("q", "s.k", "s.g", F.shiftright("s.g", 8).alias("h"))
-    met = asked.join(model.grams, ["k", "g"], "left").join(model.contexts, ["k", "h"], "left")
+    wanted = stored(wanted.select(F.col("g").alias("q")), "kn-wanted")
+    size = F.col("k") % OWN
+
+    def found(some: list[int], grams: DataFrame, contexts: DataFrame) -> DataFrame:
+        parts = [F.struct(F.lit(k).alias("k"), F.col("q").bitwiseAND(F.lit(_mask(k % OWN))).alias("g")) for k in some]
+        asked = wanted.select("q", F.explode(F.array(*parts)).alias("s")).select("q", "s.k", "s.g", F.shiftright("s.g", 8).alias("h"))
+        return asked.join(grams, ["k", "g"], "left").join(contexts, ["k", "h"], "left").select("q", "k", "kept", "total", "gamma")
+
+    # An n-gram of one or two bytes, and a context of up to two, are keys that very many of the wanted n-grams share:
+    # these have 256 ** 2 rows a level at most and are broadcast; the others are dealt by key.
+    few_grams, many_grams = F.broadcast(model.grams.where(size <= 2)), model.grams.where(size > 2)
+    few_contexts, many_contexts = F.broadcast(model.contexts.where(size <= 3)), model.contexts.where(size > 3)
+    by_size = [([k for k in levels if k % OWN <= 2], few_grams, few_contexts), ([k for k in levels if k % OWN == 3], many_grams, few_contexts), ([k for k in levels if k % OWN > 3], many_grams, many_contexts)]
+    met = reduce(DataFrame.union, [found(*x) for x in by_size if x[0]])
     one = F.struct("k", F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)).alias("a"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
     folded = met.groupBy("q").agg(F.sort_array(F.collect_list(one)).alias("steps"))  # one entry per level
 

@@ -10,8 +10,9 @@ perplexities in its own language.
 Defined cases: null and empty texts have no perplexity and are rejected; a null
 language, or one with no trusted document, takes the quantile of all trusted
 documents; without any trusted document every text is kept; documents with
-contradicting labels are not trusted; repeated rows give repeated results; other
-columns pass through, whatever their names.
+contradicting labels are not trusted; texts of any length are read whole; repeated
+rows give repeated results; an empty table gives an empty one; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     model = kneser.fit(trusted.select(F.col(text_col).alias("text"), F.lit(0).alias("cls")), ORDER)
     scorer = kneser.Scorer(docs, model, lambda v: v.select("g", F.col("v0").alias("v")), text_col=text_col, limit=limit)
     perplexity = F.when(~F.isnan("__surprise"), F.exp("__surprise"))
-    sample = scorer.score(trusted.select(text_col, lang_col), _mean_surprise, ["__surprise"], text=False).select(F.col(lang_col).alias("__lang"), perplexity.alias("p"))
+    sample = scorer.score(trusted.select(id_col, text_col, lang_col), _mean_surprise, ["__surprise"], text=False).select(F.col(lang_col).alias("__lang"), perplexity.alias("p"))
     quantile = F.percentile_approx("p", QUANTILE, ACCURACY)
     # One row per language and one for all; languages number few, but the join is left to the optimizer all the same.
     bounds = stored(sample.cube("__lang").agg(F.grouping("__lang").alias("all"), quantile.alias("__bound")), "quality-bounds")

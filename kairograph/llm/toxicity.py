@@ -16,10 +16,12 @@ that remainder 1, the first ``SAMPLE`` by hash fit the regression, so that it me
 texts as unknown as those scored later; all other rows are counted.
 
 Defined cases: null and empty texts score as the prior of the fitted rows allows
-(all differences zero); without fitted labels of both classes every score is next
-to 0; contradicting labels of one id count as toxic;
-repeated rows give repeated results; null ids are never held out and never
-learnt from; other columns are not read.
+(all differences zero); where the sample has not both classes, the models' mean
+difference and the labels' prior decide, and with labels of one class only every
+text gets that class (without labels: the ordinary one); contradicting labels of
+one id count as toxic; texts of any length are read whole; repeated rows give
+repeated results; an empty table gives an empty one; null ids are never held out
+and never learnt from; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ ORDER, SHARED = 5, 2
 FOLDS = 5
 SAMPLE = 20_000
 WINDOWS = (12, 48, 192)
+#: Bytes that a text's mean difference stands for where no regression can be fitted.
+EVIDENCE = 100.0
 FEATURES = ["mean", *(f"top{w}" for w in WINDOWS)]
 
 
@@ -73,6 +77,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
     return mean, scale, w
 
 
+def without_sample(labelled: dict[int, int]) -> np.ndarray:
+    """Weights where no regression can be fitted, from the numbers of learnt labels by class.
+
+    With both classes the models decide alone: the mean difference per byte, weighed as
+    ``EVIDENCE`` bytes, on the labels' prior odds. With one class that class is certain;
+    without labels, the ordinary one.
+    """
+    toxic, ordinary = labelled.get(1, 0), labelled.get(0, 0)
+    if toxic and ordinary:
+        return np.array([np.log(toxic / ordinary), EVIDENCE] + [0.0] * (len(FEATURES) - 1))
+    return np.array([30.0 if toxic else -30.0] + [0.0] * len(FEATURES))
+
+
 def _remainder(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS))
 
@@ -90,10 +107,11 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     fitting = scorer.score(known.where("fits").select("id", "text", "cls"), describe, FEATURES, text=False).select("id", "cls", *FEATURES)
     rows = fitting.orderBy(F.xxhash64("id"), "id").toPandas()
     y = rows["cls"].to_numpy(np.float64)
+    mean, scale = np.zeros(len(FEATURES)), np.ones(len(FEATURES))
     if len(set(y)) == 2:
         mean, scale, w = fit_logistic(rows[FEATURES].to_numpy(np.float64), y)
     else:
-        mean, scale, w = np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.array([-30.0] + [0.0] * len(FEATURES))
+        w = without_sample({r.cls: r.n for r in learn.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()})  # two rows
     scored = scorer.score(texts, describe, FEATURES, text=False)
     z = F.lit(float(w[0]))
     for name, m, s, v in zip(FEATURES, mean, scale, w[1:], strict=True):

@@ -1,10 +1,12 @@
 """Kneser-Ney models against plain Python, and what the two classifiers make of them."""
 
+import math
+
 import pytest
 
 from kairograph.llm import kneser, quality, toxicity
 
-from .helpers import Kneser, docs, odd_rows, words
+from .helpers import LONG, Kneser, docs, odd_rows, words
 
 
 def labels(spark, rows):
@@ -79,6 +81,44 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.train_and_score(docs(spark, []), none).count() == 0
 
 
+def test_toxicity_of_one_class_or_a_sample_of_one(spark):
+    rows = [(k, words(20, k) + (" vile zork " * 3 if k % 2 else " "), "en") for k in range(60)] + [(900, None, None), (901, LONG, "fr")]
+    toxic = toxicity.train_and_score(docs(spark, rows), labels(spark, [(k, 1, 1) for k in range(60)])).collect()
+    assert all(r.predicted == 1 and 0.5 < r.score <= 1 for r in toxic) and len(toxic) == len(rows)
+    ordinary = toxicity.train_and_score(docs(spark, rows), labels(spark, [(k, 1, 0) for k in range(60)])).collect()
+    assert all(r.predicted == 0 for r in ordinary)
+    # No id is left for the regression: the two models decide by themselves.
+    found = toxicity.train_and_score(docs(spark, rows), labels(spark, [(k, 1, k % 2) for k in range(60)]), sample=0).collect()
+    right = [r.predicted == r.doc_id % 2 for r in found if r.doc_id < 60]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_class_models_are_those_of_plain_counts(spark):
+    """Every byte's two likelihoods against dictionaries: own counts above two bytes, shared ones below."""
+    from pyspark.sql import functions as F
+
+    texts = [(words(30, k) + (" vile zork" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(30)]
+    table = spark.createDataFrame(texts, "text string, cls int")
+    model = kneser.fit(table, toxicity.ORDER, 2, toxicity.SHARED)
+    fresh = words(25, 999) + " zork Q"
+    scored = [t for t, _ in texts[:3]] + [fresh]
+    wanted = kneser.distinct_grams(spark.createDataFrame([(t,) for t in scored], "text string"), toxicity.ORDER)
+    got = {r.g: (r.v0, r.v1) for r in kneser.values(model, wanted).select("g", *[F.col(f"v{c}") for c in (0, 1)]).collect()}
+    plain = [Kneser([t for t, _ in texts], toxicity.ORDER, kneser.discounts, [t for t, c in texts if c == k], toxicity.SHARED) for k in (0, 1)]
+    grams = {g for t in scored for g in plain[0].grams(t)}
+    assert len(got) == len(grams)
+    for g in grams:
+        assert got[int.from_bytes(g, "big")] == pytest.approx(tuple(math.log(m.p(g)) for m in plain), rel=1e-4, abs=1e-4)
+
+
+def test_toxicity_of_very_long_and_odd_rows(spark):
+    rows = odd_rows() + [(500, "vile zork " * 20_000, "en")]
+    marks = labels(spark, [(k, 1, int(k % 2)) for k in range(24)] + [(500, 1, 1)])
+    found = toxicity.train_and_score(docs(spark, rows), marks).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id in (100, 101)}) == 1
+
+
 def test_toxicity_counts_all_that_the_bounded_sample_leaves(spark, monkeypatch):
     import zlib
 
