@@ -1,17 +1,20 @@
 """Audio features of media columns (operator 5).
 
-A payload is kept as 8-bit PCM in a WAV container. The features are computed
-from the stored bytes, read back: polyphase resampling to ``TARGET`` Hz,
-overlapped log-mel filterbanks, and segments of energy with hysteresis. Frames
-are stored in patches of ``PATCH`` x ``MELS`` values as an Arrow fixed-shape
-tensor column, each with its time span, in an Arrow stream per row, so that any
-Arrow reader gets tensors of one shape whatever the length of the audio.
+A payload is kept as 8-bit PCM in a WAV container (``media_column``), which is
+written to the shared folder. The features are computed from the stored bytes,
+read back: polyphase resampling to ``TARGET`` Hz, overlapped log-mel filterbanks,
+and segments of energy with hysteresis (``audio_features``). Frames are kept in
+patches of ``PATCH`` x ``MELS`` values as an Arrow fixed-shape tensor column, each
+with its time span, in an Arrow stream per row, so that any Arrow reader gets
+tensors of one shape whatever the length of the audio. ``digests`` describes such
+rows from their own media, tensors and segments.
 
 Defined cases: a null text is an empty text; a payload is padded with bytes 255
 to a positive multiple of ``UNIT``; the last patch is padded with the silence
 floor; equal payloads give equal values; repeated rows give repeated results; an
-empty table gives an empty one; other columns are not read. Frames are made in
-blocks, so a long payload needs memory for its samples but not for its spectra.
+empty table gives an empty one; other columns are not read, whatever their names.
+Rows are taken by about ``SLICE_BYTES`` at a time and frames in blocks, so memory is
+in proportion to the longest sound's samples, tensors included.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import stored, table
+from .textbytes import release, row_slices
 
 UNIT = 576
-SOURCE, TARGET = 16_000, 8_000
-FRAME, HOP, FFT = 200, 80, 256
+SOURCE, TARGET = 16_000, 12_000
+FRAME, HOP, FFT = 300, 120, 512
 MELS, PATCH = 32, 32
 FLOOR = -10.0
 #: Hysteresis about the mean log energy: a segment starts above the first and ends below the second.
@@ -173,52 +178,67 @@ def analyse(media: bytes) -> dict:
     return {"frames": len(mel), "tensors": tensors(mel), "segments": [{"start_s": a * HOP / TARGET, "end_s": ((b - 1) * HOP + FRAME) / TARGET} for a, b in found]}
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, columns: str, row, schema: pa.Schema) -> DataFrame:
-    source = docs.select(F.col(id_col), F.col(text_col).cast("binary"))
-    kind = source.schema[id_col].dataType.simpleString()
+_SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def _mapped(rows: DataFrame, body: str, schema: pa.Schema, columns: str, made) -> DataFrame:
+    """``made`` of every row (a dictionary of its other columns, ``body`` as bytes), a bounded number of bytes at a time; the first column stays."""
+    first = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                made = pa.Table.from_pylist([row(t.as_py() or b"") for t in part.column(1)], schema).combine_chunks()
-                yield pa.RecordBatch.from_arrays([part.column(0), *(c.chunk(0) for c in made.columns)], names=[id_col, *schema.names])
+            place = batch.schema.names.index(body)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+            for a, b in row_slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
+                part = batch.slice(a, b - a)
+                found = pa.Table.from_pylist([made(x) for x in part.drop_columns([first.name]).to_pylist()], schema).combine_chunks()
+                yield pa.RecordBatch.from_arrays([part.column(0), *(c.chunk(0) for c in found.columns)], names=[first.name, *schema.names])
+        release()
+
+    return rows.mapInArrow(run, f"`{first.name}` {first.dataType.simpleString()}, {columns}")
+
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, {columns}")
+def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_bytes, media)``: every text's payload as sound."""
 
+    def row(x: dict) -> dict:
+        text = x["__text"] or b""
+        return {"n_bytes": len(text), "media": to_wav(payload(text))}
 
-def audio_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, media, frames, tensors, segments)`` of every text's payload as sound."""
-    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-    schema = pa.schema([("media", pa.binary()), ("frames", pa.int64()), ("tensors", pa.binary()), ("segments", pa.list_(span))])
+    source = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text"))
+    return _mapped(source, "__text", pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())]), "n_bytes long, media binary", row)
 
-    def row(text: bytes) -> dict:
-        media = to_wav(payload(text))
-        return {"media": media} | analyse(media)
 
-    return _rows(docs, id_col, text_col, "media binary, frames long, tensors binary, segments array<struct<start_s: double, end_s: double>>", row, schema)
+def audio_features(media: DataFrame) -> DataFrame:
+    """``(id, n_bytes, media, frames, tensors, segments)`` of rows ``(id, n_bytes, media)``."""
+    schema = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary()), ("frames", pa.int64()), ("tensors", pa.binary()), ("segments", _SPANS)])
+    columns = "n_bytes long, media binary, frames long, tensors binary, segments array<struct<start_s: double, end_s: double>>"
+    return _mapped(media, "media", schema, columns, lambda x: x | analyse(x["media"]))
 
 
-def digest(text: bytes) -> dict:
-    """The digest columns of one text, taken from what was stored."""
-    media = to_wav(payload(text))
-    back, _ = from_wav(media)
-    found = analyse(media)
-    values, starts, ends = read_tensors(found["tensors"])
-    mean = values.reshape(-1, MELS)[: found["frames"]].mean(axis=0, dtype=np.float64)
-    active = sum(s["end_s"] - s["start_s"] for s in found["segments"])
+def describe(row: dict) -> dict:
+    """The digest columns of one row of features."""
+    back, _ = from_wav(row["media"])
+    values, starts, ends = read_tensors(row["tensors"])
+    mean = values.reshape(-1, MELS)[: row["frames"]].mean(axis=0, dtype=np.float64)
+    active = sum(s["end_s"] - s["start_s"] for s in row["segments"])
     return {
-        "n_bytes": len(text),
+        "n_bytes": row["n_bytes"],
         "payload_bytes": len(back),
         "payload_sha256": hashlib.sha256(back).hexdigest(),
         "tail_crc32": zlib.crc32(back[-32:]),
-        "media_bytes": len(media),
-        "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"frames={found['frames']} tensors={len(values)} span={starts[0]:.3f}-{ends[-1]:.3f} segments={len(found['segments'])} active={active:.3f} mel=" + ",".join(f"{v:.3f}" for v in mean[::4]),
+        "media_bytes": len(row["media"]),
+        "media_sha256": hashlib.sha256(row["media"]).hexdigest(),
+        "feature": f"frames={row['frames']} tensors={len(values)} span={starts[0]:.3f}-{ends[-1]:.3f} segments={len(row['segments'])} active={active:.3f} mel=" + ",".join(f"{v:.3f}" for v in mean[::4]),
     }
 
 
-def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digests(features: DataFrame) -> DataFrame:
+    """The digest columns of rows of features."""
     schema = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _rows(table(spark, sf_dir, "documents"), "doc_id", "text", columns, digest, schema)
+    return _mapped(features, "media", schema, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", describe)
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(media_column(table(spark, sf_dir, "documents")), "media")
+    return digests(audio_features(media))
