@@ -5,9 +5,9 @@ passages are cut out; one document of each near-duplicate component stays;
 documents that contain a benchmark item go; what is left is encoded, decoded and
 digested. ``STAGES`` names the stages in order; each takes ``(spark, docs,
 sf_dir)`` and returns the next one's documents, all but the last with the columns
-of ``documents``. Every stage has its operator's defined results for nulls, empty
-and repeated rows; a document without an id stays in near-dedup only if no
-document of its component has an id.
+of ``documents``. Every stage has its operator's defined results for nulls, empty,
+very long and repeated rows, empty tables and further columns; near-dedup keeps one
+row of each component, which has no id only if no row of the component has one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm import bpe, decontaminate, linededup, quality, simhash
-from kairograph.llm.session import small, table
+from kairograph.llm.session import table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    gone = found.where("NOT (doc_id <=> component_id)").select(F.struct("doc_id").alias("__gone")).distinct()
-    return docs.join(small(gone), F.struct("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each near-duplicate component: the one with the smallest id (see ``simhash.keep_one``)."""
+    return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
