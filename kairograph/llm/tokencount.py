@@ -3,7 +3,7 @@
 Tier one is a compact broadcast hash table of frequent pre-tokens with their
 token counts: the tokenizer's own vocabulary (what a BPE vocabulary holds is what
 was frequent), and the pre-tokens that turn up most in a bounded sample of the
-input (``SAMPLE_ROWS`` texts, ``SAMPLE_WORDS`` words; the sample decides how fast a
+input (``SAMPLE_ROWS`` short texts, ``SAMPLE_WORDS`` words; the sample decides how fast a
 count is found, never what it is). Tier two is a bounded cache in each worker: a
 pre-token that misses the table is encoded by the library once and remembered. No
 pre-token is ever shuffled. Hashes only lead to a place; bytes are compared there.
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import os
-from collections import Counter as Tally
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,8 @@ from .textbytes import pieces, release, same_spans, span_hashes
 
 #: Pre-tokens that a worker remembers, the longest of them, and how many the library encodes at a time.
 KEEP, LONGEST, AT_ONCE = 150_000, 64, 4_000
-#: Texts of the sample, and the pre-tokens taken from it.
-SAMPLE_ROWS, SAMPLE_WORDS = 2_000, 20_000
+#: Texts of the sample, the longest of them in bytes (all are sent to the driver), and the pre-tokens taken from it.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WORDS = 1_000, 16_384, 20_000
 LIMIT = 512
 
 
@@ -146,30 +145,25 @@ def vocabulary_words(counter: Counter) -> list[str]:
     return [w for w, k in zip(words, one.tolist(), strict=True) if k]
 
 
-def sample_words(texts: DataFrame, json_text: str, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> list[str]:
-    """The pre-tokens seen most, and more than once, in the first ``rows`` texts; counted by one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Counter(json_text, Frequent([], []))
-        seen: Tally[bytes] = Tally()
-        for batch in batches:
-            for a, _, offsets in pieces(batch.column(0)):
-                parts = split([t or "" for t in batch.column(0).slice(a, len(offsets) - 1).to_pylist()], own.classes)
-                if len(parts.starts):
-                    at, back = parts.distinct(parts.hashes())
-                    short = np.flatnonzero(parts.ends[at] - parts.starts[at] <= LONGEST)
-                    seen.update(dict(zip(parts.words(at[short]), np.bincount(back)[short].tolist(), strict=True)))
-        found = [w.decode() for w, n in seen.most_common(words) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w in found if not any(s in w for s in own.special)], pa.string())], names=["word"])
-        release()
-
-    return [r.word for r in texts.limit(rows).coalesce(1).mapInArrow(run, "word string").collect()]
+def sample_words(texts: DataFrame, counter: Counter, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> list[str]:
+    """The pre-tokens seen most, and more than once, in ``rows`` texts of at most ``SAMPLE_BYTES``, the first that the scan meets."""
+    column = texts.columns[0]
+    found = [r[0] for r in texts.where(F.octet_length(F.col(column)) <= SAMPLE_BYTES).limit(rows).collect()]
+    found = [t for t in found if not any(s in t for s in counter.special)]
+    parts = split(found, counter.classes)
+    if not len(parts.starts):
+        return []
+    at, back = parts.distinct(parts.hashes())
+    times = np.bincount(back)
+    some = np.flatnonzero((parts.ends[at] - parts.starts[at] <= LONGEST) & (times > 1))
+    some = some[np.argsort(-times[some], kind="stable")][:words]
+    return [w.decode() for w in parts.words(at[some])]
 
 
 def frequent_table(json_text: str, texts: DataFrame | None = None) -> Frequent:
     """Tier one of a tokenizer for these ``texts(text)``, bounded by the vocabulary and ``SAMPLE_WORDS``."""
     counter = Counter(json_text, Frequent([], []))
-    words = list(dict.fromkeys([*vocabulary_words(counter), *(sample_words(texts, json_text) if texts is not None else [])]))
+    words = list(dict.fromkeys([*vocabulary_words(counter), *(sample_words(texts, counter) if texts is not None else [])]))
     return Frequent([w.encode() for w in words], counter.encoded(words))
 
 
