@@ -1,12 +1,11 @@
-"""Models: truncated SVD geometry, a gradient-boosted ranker on MLlib trees, and embedding trainers."""
+"""Models: truncated SVD geometry, and a gradient-boosted ranker on MLlib trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct edges that the one-task trainers take; longer logs use alternating least squares.
-LOCAL_EDGES = 2_000_000
+from ..sources.shared import written
 
 
 def svd_geometry(log: DataFrame, k: int = 16) -> DataFrame:
@@ -29,101 +28,53 @@ def svd_geometry(log: DataFrame, k: int = 16) -> DataFrame:
 
 
 def lambdamart(rows: DataFrame, features: list[str], rounds: int = 400, rate: float = 0.05, depth: int = 5, least: int = 100):
-    """A ranker of ``rows(qid, label, features...)``; returns ``score(df) -> df with prediction``.
+    """A ranker of ``rows(qid, pos, label, features...)``; returns ``score(df) -> df with prediction``.
 
     Each round takes the gradients of NDCG at 10 from pairs within a query
     (bounded by the slate's width), fits one MLlib regression tree to them, and
-    sets each leaf by a Newton step.
+    sets each leaf by a Newton step. A row is known by its query and position,
+    and every round's values are written, so lost executors change nothing and
+    plans do not grow with the rounds.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    assembler = VectorAssembler(inputCols=features, outputCol="x")
-    data = assembler.transform(rows).select("qid", "label", "x").withColumn("f", F.lit(0.0)).withColumn("rid", F.monotonically_increasing_id()).persist()
+    key = ["qid", "pos"]
+    assembler = VectorAssembler(inputCols=features, outputCol="__x")
+    data = written(assembler.transform(rows).select(*key, "label", F.col("__x").alias("x")).withColumn("f", F.lit(0.0)), "boosting")
     steps: list[tuple] = []
+    target = None
     for _ in range(rounds):
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("f"), "rid"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("f"), "pos"))
         gain = F.when(rank <= 10, 1 / F.log2(rank + 1.0)).otherwise(0.0)
         ranked = data.withColumn("d", gain)
-        best = ranked.where("label = 1").select("qid", F.col("f").alias("fp"), F.col("d").alias("dp"))
-        pairs = ranked.where("label = 0").join(best, "qid").withColumn("rho", 1 / (1 + F.exp(F.col("fp") - F.col("f")))).withColumn("dz", F.abs(F.col("dp") - F.col("d")))
-        low = pairs.select("rid", (-F.col("rho") * F.col("dz")).alias("g"), (F.col("rho") * (1 - F.col("rho")) * F.col("dz")).alias("h"), "qid")
-        high = low.groupBy("qid").agg((-F.sum("g")).alias("g"), F.sum("h").alias("h"))
-        grads = low.select("rid", "g", "h").union(data.where("label = 1").select("qid", "rid").join(high, "qid").select("rid", "g", "h"))
-        target = data.join(grads, "rid").withColumn("y", F.col("g") / (F.col("h") + 1e-6)).withColumn("wt", F.col("h") + 1e-6)
+        # One window tells every cell its query's positive: no join, no second pass over the slates.
+        slate = Window.partitionBy("qid")
+        pairs = ranked.withColumns({"fp": F.max(F.when(F.col("label") == 1, F.col("f"))).over(slate), "dp": F.max(F.when(F.col("label") == 1, F.col("d"))).over(slate)})
+        rho, dz = 1 / (1 + F.exp(F.col("fp") - F.col("f"))), F.abs(F.col("dp") - F.col("d"))
+        lower = pairs.withColumns({"g0": F.when((F.col("label") == 0) & F.col("fp").isNotNull(), -rho * dz), "h0": F.when((F.col("label") == 0) & F.col("fp").isNotNull(), rho * (1 - rho) * dz)})
+        g = F.when(F.col("label") == 1, -F.sum("g0").over(slate)).otherwise(F.col("g0"))
+        h = F.when(F.col("label") == 1, F.sum("h0").over(slate)).otherwise(F.col("h0"))
+        fresh = lower.withColumns({"g": g, "h": h}).where("g IS NOT NULL").select(*key, "label", "x", "f", "g", "h")
+        target = written(fresh.withColumn("y", F.col("g") / (F.col("h") + 1e-6)).withColumn("wt", F.col("h") + 1e-6), "gradients", instead_of=target)
         tree = DecisionTreeRegressor(featuresCol="x", labelCol="y", weightCol="wt", maxDepth=depth, minInstancesPerNode=least, predictionCol="step", leafCol="leaf", seed=7).fit(target)
         placed = tree.transform(target)
         leaves = {r["leaf"]: r["v"] for r in placed.groupBy("leaf").agg((F.sum("g") / (F.sum("h") + 1.0)).alias("v")).collect()}  # at most 2 ** depth leaves
         steps.append((tree, leaves))
-        old = data
-        data = _stepped(tree, leaves, data, rate).persist()
-        data.count()
-        old.unpersist()
+        data = written(_stepped(tree, leaves, data, rate), "boosting", instead_of=data)
 
     def score(df: DataFrame) -> DataFrame:
-        out = assembler.transform(df).withColumn("f", F.lit(0.0))
+        out = assembler.transform(df).withColumn("__f", F.lit(0.0))
         for tree, leaves in steps:
-            out = _stepped(tree, leaves, out, rate)
-        return out.withColumnRenamed("f", "prediction").drop("x")
+            tree.setFeaturesCol("__x")
+            out = _stepped(tree, leaves, out, rate, "__f")
+        return out.withColumnRenamed("__f", "prediction").drop("__x")
 
     return score
 
 
-def _stepped(tree, leaves: dict, df: DataFrame, rate: float) -> DataFrame:
+def _stepped(tree, leaves: dict, df: DataFrame, rate: float, column: str = "f") -> DataFrame:
     value = F.lit(0.0)
     for leaf, v in leaves.items():
         value = F.when(F.col("leaf") == leaf, F.lit(float(v))).otherwise(value)
-    return tree.transform(df).withColumn("f", F.col("f") + rate * value).drop("step", "leaf")
-
-
-def _train_pairs(edges, dim: int, epochs: int, rate: float, seed: int, kind: str):
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    s, d = edges["src"].to_numpy(), edges["dst"].to_numpy()
-    n = int(max(s.max(), d.max())) + 1
-    degree = (np.bincount(d, minlength=n) + 1.0) ** 0.75
-    cdf = np.cumsum(degree) / degree.sum()
-    emb = rng.normal(0, 0.1, (n, dim))
-    other = rng.normal(0, 0.1, (n, dim)) if kind == "line" else emb
-    seen = np.unique(s * n + d)
-    for _ in range(epochs):
-        order = rng.permutation(len(s))
-        for a in range(0, len(order), 4096):
-            i = order[a : a + 4096]
-            u, p = s[i], d[i]
-            q = np.searchsorted(cdf, rng.random(len(i))).clip(0, n - 1)
-            at = np.searchsorted(seen, u * n + q).clip(0, len(seen) - 1)
-            ok = seen[at] != u * n + q
-            u, p, q = u[ok], p[ok], q[ok]
-            diff = (emb[u] * (other[p] - other[q])).sum(1)
-            g = (1 / (1 + np.exp(np.clip(diff, -30, 30))))[:, None] * rate
-            du, dp = g * (other[p] - other[q]), g * emb[u]
-            np.add.at(emb, u, du)
-            np.add.at(other, p, dp)
-            np.add.at(other, q, -dp)
-    return emb
-
-
-def train_embedding(log: DataFrame, kind: str = "bpr", dim: int = 16, epochs: int = 5, rate: float = 0.05, seed: int = 42, local: int = LOCAL_EDGES) -> DataFrame:
-    """``(id, vec)``: pairwise ranking embeddings (``bpr``: one table, ``line``: a context table too).
-
-    Up to ``local`` distinct edges are trained in one task, with negatives drawn by
-    degree to the power 0.75 that are no edge; longer logs by alternating least
-    squares with implicit feedback.
-    """
-    import pandas as pd
-
-    edges = log.select("src", "dst").distinct().persist()
-    if edges.count() > local:
-        from pyspark.ml.recommendation import ALS
-
-        counted = log.groupBy(F.col("src").cast("int").alias("u"), F.col("dst").cast("int").alias("i")).agg(F.count(F.lit(1)).cast("float").alias("r"))
-        model = ALS(rank=dim, maxIter=epochs, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="r", seed=seed).fit(counted)
-        return model.itemFactors.select(F.col("id").cast("long"), F.col("features").cast("array<double>").alias("vec"))
-
-    def run(pdf):
-        emb = _train_pairs(pdf.sort_values(["src", "dst"]), dim, epochs, rate, seed, kind)
-        return pd.DataFrame({"id": range(len(emb)), "vec": list(map(list, emb))})
-
-    return edges.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id long, vec array<double>")
+    return tree.transform(df).withColumn(column, F.col(column) + rate * value).drop("step", "leaf")
