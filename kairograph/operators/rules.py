@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from .history import history_mask, reverse_edge, warm_flag
 from .popularity import slate_recurrence
 
 
+#: Row ids of one block in which a candidate's runs are numbered.
+RUN_BLOCK = 4096
+
+
 def slate_sets(cells: DataFrame, log: DataFrame) -> DataFrame:
     """``(row_id, src, time, warm array)``: each row's distinct warm candidates, sorted."""
     flagged = warm_flag(cells, log)
@@ -38,10 +44,17 @@ def triple_rule(sets: DataFrame) -> DataFrame:
     return _agreed(hits.select(F.explode(F.array(*[F.col("row_id") + k for k in range(3)])).alias("row_id"), F.get("common", F.lit(0)).alias("cand")))
 
 
-def adjacent_shared(sets: DataFrame) -> DataFrame:
-    """``(row_id, common)``: a row and the next one, of one time and different sources, with the warm candidates they share."""
-    w = following(sets, ["src", "time", "warm"], 1)
-    return w.where("time = time_1 AND src <> src_1").select("row_id", F.array_intersect("warm", "warm_1").alias("common"))
+def adjacent_shared(sets: DataFrame, distance: int = 1) -> DataFrame:
+    """``(row_id, common)``: a row and the one ``distance`` rows on, of one time and different sources, with the warm candidates they share."""
+    columns = ["src", "time", "warm"]
+    other = sets.select((F.col("row_id") - distance).alias("row_id"), *[F.col(c).alias(f"{c}_1") for c in columns])
+    return sets.join(other, "row_id").where("time = time_1 AND src <> src_1").select("row_id", F.array_intersect("warm", "warm_1").alias("common"))
+
+
+def band_shared(sets: DataFrame, width: int) -> DataFrame:
+    """``(row_id, distance, cand)``: each warm candidate that a row shares with a coupled row up to ``width`` rows on."""
+    parts = [adjacent_shared(sets, d).select("row_id", F.lit(d).alias("distance"), F.explode("common").alias("cand")) for d in range(1, width + 1)]
+    return reduce(DataFrame.union, parts)
 
 
 def pair_labels(sets: DataFrame, triples: DataFrame) -> DataFrame:
@@ -90,10 +103,9 @@ def zero_repeat_exclusion(cells: DataFrame, labels: DataFrame, triples: DataFram
 
 
 def duplicate_cells(cells: DataFrame, triples: DataFrame) -> DataFrame:
-    """``(row_id, pos)``: cells whose candidate occurs more than once in the slate."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("row_id", "cand"))
-    dups = cells.select("row_id", "pos", "cand", n.alias("n")).where("n > 1")
-    return dups.join(triples, ["row_id", "cand"], "left_anti").select("row_id", "pos")
+    """``(row_id, pos)``: cells whose candidate occurs more than once in the slate; counted before anything is joined."""
+    places = cells.groupBy("row_id", "cand").agg(F.collect_list("pos").alias("places")).where(F.size("places") > 1)
+    return places.join(triples, ["row_id", "cand"], "left_anti").select("row_id", F.explode("places").alias("pos"))
 
 
 def zero_repeat_demotions(cells: DataFrame, labels: DataFrame, triples: DataFrame) -> DataFrame:
@@ -104,14 +116,23 @@ def zero_repeat_demotions(cells: DataFrame, labels: DataFrame, triples: DataFram
 
 
 def run_exclusion(cells: DataFrame, log: DataFrame, protected: DataFrame, min_run: int = 2) -> DataFrame:
-    """``(row_id, pos, level)``: of a warm candidate's runs of consecutive rows within one time, all but the longest."""
+    """``(row_id, pos, level)``: of a warm candidate's runs of consecutive rows within one time, all but the longest.
+
+    A run starts where the row before does not hold the candidate. Rows of one
+    candidate are numbered in blocks of ``RUN_BLOCK`` row ids, and only the blocks'
+    last starts are put in order, so a popular candidate's rows are not one task.
+    """
     warm = warm_flag(cells, log).where("warm").select("row_id", "time", "pos", "cand")
     rows = warm.select("row_id", "time", "cand").distinct()
-    island = F.col("row_id") - F.row_number().over(Window.partitionBy("time", "cand").orderBy("row_id"))
-    runs = rows.withColumn("island", island)
-    sized = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("time", "cand", "island")))
-    longest = sized.withColumn("top", F.max("n").over(Window.partitionBy("time", "cand")))
-    short = longest.where((F.col("top") >= min_run) & (F.col("n") < F.col("top"))).select("row_id", "cand")
+    before = rows.select((F.col("row_id") + 1).alias("row_id"), "time", "cand", F.lit(True).alias("goes_on"))
+    marked = rows.join(before, ["row_id", "time", "cand"], "left").select("row_id", "time", "cand", F.floor(F.col("row_id") / RUN_BLOCK).alias("block"), F.when(F.col("goes_on").isNull(), F.col("row_id")).alias("start"))
+    key = ["time", "cand"]
+    within = F.max("start").over(Window.partitionBy(*key, "block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carry = marked.groupBy(*key, "block").agg(F.max("start").alias("s")).select(*key, "block", F.max("s").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    runs = marked.withColumn("within", within).join(carry, [*key, "block"]).select("row_id", *key, F.coalesce("within", "carry").alias("run"))
+    sizes = runs.groupBy(*key, "run").agg(F.count(F.lit(1)).alias("n"))
+    longest = sizes.groupBy(*key).agg(F.max("n").alias("top"))
+    short = runs.join(sizes.join(longest, key).where((F.col("top") >= min_run) & (F.col("n") < F.col("top"))), [*key, "run"]).select("row_id", "cand")
     free = short.join(protected, ["row_id", "cand"], "left_anti")
     return warm.join(free, ["row_id", "cand"]).select("row_id", "pos", F.lit(1).alias("level"))
 
@@ -213,18 +234,13 @@ def virtual_edge_harvest(cells: DataFrame, log: DataFrame, k: int = 2, least: fl
     return best.join(log.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
-def reliability_bins(cells: DataFrame, sets: DataFrame, eta: float = 1.0, bins: int = 5, off: int = 5) -> DataFrame:
-    """``(bin, n1, n5, p, factor)``: how often a candidate shared by adjacent rows is more than chance, by slate frequency.
-
-    Pairs at distance 1 and a placebo at distance ``off`` share just one warm
-    candidate; bins are quantiles of the frequency of the former.
-    """
+def _reliability(cells: DataFrame, sets: DataFrame, eta: float, bins: int, off: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of bins, the one row of their edges, and ``(cand, f)``."""
     freq = cells.groupBy("cand").agg(F.count(F.lit(1)).alias("f"))
 
     def shared(d: int) -> tuple[DataFrame, DataFrame]:
-        next_ = sets.select((F.col("row_id") - d).alias("row_id"), F.col("src").alias("src_1"), F.col("time").alias("time_1"), F.col("warm").alias("warm_1"))
-        met = sets.join(next_, "row_id").where("time = time_1 AND src <> src_1")
-        one = met.select(F.array_intersect("warm", "warm_1").alias("common")).where(F.size("common") == 1).select(F.get("common", F.lit(0)).alias("cand"))
+        met = adjacent_shared(sets, d)
+        one = met.where(F.size("common") == 1).select(F.get("common", F.lit(0)).alias("cand"))
         return met.agg(F.count(F.lit(1)).alias("e")), one.join(freq, "cand").select("f")
 
     e1, f1 = shared(1)
@@ -232,8 +248,7 @@ def reliability_bins(cells: DataFrame, sets: DataFrame, eta: float = 1.0, bins:
     edges = f1.agg(F.percentile("f", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
 
     def binned(f: DataFrame, name: str) -> DataFrame:
-        place = F.size(F.filter("edges", lambda e: e <= F.col("f")))
-        return f.join(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias(name))
+        return f.join(F.broadcast(edges)).groupBy(_bin().alias("bin")).agg(F.count(F.lit(1)).alias(name))
 
     all_bins = cells.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     n = all_bins.join(binned(f1, "n1"), "bin", "left").join(binned(f5, "n5"), "bin", "left").na.fill(0)
@@ -242,5 +257,40 @@ def reliability_bins(cells: DataFrame, sets: DataFrame, eta: float = 1.0, bins:
     p = met.withColumn("p", F.least(F.greatest(F.coalesce(raw, F.lit(1.0)), F.lit(0.02)), F.lit(0.995)))
     logit = p.withColumn("lo", F.log(F.col("p") / (1 - F.col("p"))))
     mean = logit.agg((F.sum(F.col("lo") * F.col("n1")) / F.nullif(F.sum("n1"), F.lit(0))).alias("mean"))
-    out = logit.join(F.broadcast(mean))
-    return out.select("bin", "n1", "n5", "p", F.least(F.greatest(F.exp(eta * (F.col("lo") - F.coalesce("mean", F.lit(0.0)))), F.lit(0.3)), F.lit(3.0)).alias("factor"))
+    factor = F.least(F.greatest(F.exp(eta * (F.col("lo") - F.coalesce("mean", F.lit(0.0)))), F.lit(0.3)), F.lit(3.0))
+    return logit.join(F.broadcast(mean)).select("bin", "n1", "n5", "p", factor.alias("factor")), edges, freq
+
+
+def _bin() -> Column:
+    return F.size(F.filter("edges", lambda e: e <= F.col("f")))
+
+
+def reliability_bins(cells: DataFrame, sets: DataFrame, eta: float = 1.0, bins: int = 5, off: int = 5) -> DataFrame:
+    """``(bin, n1, n5, p, factor)``: how often a candidate shared by adjacent rows is more than chance, by slate frequency.
+
+    Pairs at distance 1 and a placebo at distance ``off`` share just one warm
+    candidate; bins are quantiles of the frequency of the former.
+    """
+    return _reliability(cells, sets, eta, bins, off)[0]
+
+
+def candidate_factors(cells: DataFrame, sets: DataFrame, eta: float = 1.0, bins: int = 5, off: int = 5) -> DataFrame:
+    """``(cand, factor)``: the reliability of each candidate's bin; all are 1 where no pair shares just one."""
+    table, edges, freq = _reliability(cells, sets, eta, bins, off)
+    placed = freq.join(F.broadcast(edges)).select("cand", _bin().alias("bin"))
+    return placed.join(F.broadcast(table), "bin", "left").select("cand", F.coalesce("factor", F.lit(1.0)).alias("factor"))
+
+
+def census_faults(census: dict, expected: dict) -> list[str]:
+    """What differs between a census and what was recorded of it, and what contradicts itself; nothing if it holds."""
+    faults = [f"{k}: {census.get(k)} instead of {v}" for k, v in sorted(expected.items()) if census.get(k) != v]
+    c = {k: v or 0 for k, v in census.items()}
+    laws = {
+        "a group has at least one row": c["n_rows"] >= c["src_top1_groups"],
+        "groups of several rows are of one time or of several": c["groups_multirow"] == c["groups_multirow_same_time_only"] + c["violation_groups"],
+        "a row in a violating group is kept or acted on": c["rows_in_violation_groups"] == c["planned_action_rows"] + c["keeper_rows"],
+        "a violating group keeps at least one row and acts on one": c["violation_groups"] <= min(c["keeper_rows"], c["planned_action_rows"]),
+        "no more rows are surely wrong than are in violating groups": 0 <= c["guaranteed_wrong"] <= c["rows_in_violation_groups"],
+        "no group is larger than all of them": c["max_violation_group_size"] <= c["rows_in_violation_groups"],
+    }
+    return faults + [f"broken: {law}" for law, holds in laws.items() if not holds]
