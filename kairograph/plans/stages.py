@@ -1,14 +1,19 @@
-"""Stages with completion records: a table is reused only if everything that made it is unchanged.
-
-A stage builds a DataFrame; running it writes Parquet under a temporary name,
-validates what was written, renames it, and writes a record last. Paths belong to
-any Hadoop file system. ``decide`` never repairs: whatever does not fit stops the
-run with a reason, and ``quarantine`` moves it aside without deleting it.
+"""Stages that keep a note of what made their table, and reuse the table only while the note still holds.
+
+A stage builds a DataFrame; running it writes Parquet under a temporary name, checks
+what was written, renames it, and writes the note last. The note is one fingerprint:
+the code, configuration, inputs, table and checks. Paths belong to any Hadoop file
+system. Nothing is ever repaired: ``outlook`` says what would happen, a stage whose
+folder or note does not fit halts the run, and ``set_aside`` moves files away
+without deleting them.
 """
 
 from __future__ import annotations
 
+import ast
 import hashlib
+import importlib
+import importlib.util
 import inspect
 import json
 from collections.abc import Callable
@@ -18,8 +23,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
-REQUIRED = ("version", "stage", "code", "config", "inputs", "output", "validation", "completed_at")
+PACKAGE = __name__.partition(".")[0]
 
 
 @dataclass(frozen=True)
@@ -33,12 +37,23 @@ class Stage:
     config: dict = field(default_factory=dict)
     validate: Callable[[DataFrame], dict] | None = None
 
+    def place(self, what: str) -> str:
+        """Where the stage keeps a thing of ``THINGS``."""
+        return self.output + THINGS[what]
+
+
+#: What a stage may have on disk.
+THINGS = {"draft": ".part", "table": "", "note": ".done.json"}
+#: What follows from what there is; anything else halts.
+FOLLOWS = {frozenset(): "build", frozenset({"table", "note"}): "compare"}
+
 
 @dataclass(frozen=True)
-class Decision:
-    action: str
-    code: str
-    detail: list
+class Outlook:
+    """``build``, ``keep`` or ``halt``, and for a halt everything that does not fit."""
+
+    what: str
+    because: tuple[str, ...] = ()
 
 
 def digest(value) -> str:
@@ -82,6 +97,22 @@ class Store:
         finally:
             stream.close()
 
+    def concatenate(self, parts: list[str], path: str) -> None:
+        """The bytes of all parts, one after another, in one file."""
+        files, target = self._at(path)
+        io, conf = self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils, self.spark.sparkContext._jsc.hadoopConfiguration()
+        out = files.create(target, True)
+        try:
+            for part in parts:
+                source, at = self._at(part)
+                stream = source.open(at)
+                try:
+                    io.copyBytes(stream, out, conf, False)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+
     def write(self, path: str, text: str) -> None:
         """Under a temporary name first, so a record is whole or absent."""
         files, target = self._at(path + ".part")
@@ -100,88 +131,96 @@ def identity(df: DataFrame) -> dict:
     return {"schema": df.schema.simpleString(), "rows": n, "content": f"{low}:{high}"}
 
 
-def _now(stage: Stage, spark: SparkSession) -> dict:
-    read = spark.read.parquet
+def modules_of(build: Callable) -> dict[str, str]:
+    """Sources of the builder's module and of all modules of this package that it imports, directly or not."""
+    found: dict[str, str] = {}
+    todo = [build.__module__]
+    while todo:
+        name = todo.pop()
+        if name in found:
+            continue
+        module = importlib.import_module(name)
+        found[name] = source = inspect.getsource(module) if getattr(module, "__file__", None) else ""
+        base = name if hasattr(module, "__path__") else name.rpartition(".")[0]
+        for node in ast.walk(ast.parse(source)):
+            if isinstance(node, ast.Import):
+                todo += [x.name for x in node.names if x.name.partition(".")[0] == PACKAGE]
+            elif isinstance(node, ast.ImportFrom):
+                parent = importlib.util.resolve_name("." * node.level + (node.module or ""), base) if node.level else node.module
+                if parent.partition(".")[0] == PACKAGE:
+                    todo += [m for m in (parent, *(f"{parent}.{x.name}" for x in node.names)) if importlib.util.find_spec(m) is not None] if hasattr(importlib.import_module(parent), "__path__") else [parent]
+    return found
+
+
+def fingerprint(stage: Stage, spark: SparkSession, table: DataFrame, checks: dict) -> dict:
+    """Everything that a note has to say of a stage's table."""
     return {
         "stage": stage.name,
-        "code": hashlib.sha256(inspect.getsource(stage.build).encode()).hexdigest(),
+        "build": digest(inspect.getsource(stage.build)),
+        **{f"module {name}": digest(source) for name, source in modules_of(stage.build).items()},
         "config": digest(stage.config),
-        "inputs": {p: identity(read(p)) for p in stage.inputs},
+        **{f"input {path}": identity(spark.read.parquet(path)) for path in stage.inputs},
+        "table": identity(table),
+        "checks": checks,
     }
 
 
-def record_path(stage: Stage) -> str:
-    return stage.output + ".done.json"
-
-
-def decide(stage: Stage, spark: SparkSession) -> Decision:
-    """RUN on a clean slate, REUSE if the record describes the present state, else STOP."""
+def outlook(stage: Stage, spark: SparkSession) -> Outlook:
+    """What completing the stage would do now."""
     store = Store(spark)
-    if store.exists(stage.output + ".part"):
-        return Decision("STOP", "STALE_PART", [stage.output + ".part"])
-    made, told = store.exists(stage.output), store.exists(record_path(stage))
-    if not made and not told:
-        return Decision("RUN", "CLEAN_SLATE", [])
-    if not told:
-        return Decision("STOP", "MISSING_RECORD", [stage.output])
-    if not made:
-        return Decision("STOP", "MISSING_OUTPUT", [stage.output])
+    there = frozenset(t for t in THINGS if store.exists(stage.place(t)))
+    follows = FOLLOWS.get(there)
+    if follows == "build":
+        return Outlook("build")
+    if follows is None:
+        return Outlook("halt", tuple(f"{t} {'is there' if t in there else 'is missing'}" for t in THINGS))
     try:
-        record = json.loads(store.read(record_path(stage)))
-    except ValueError as problem:
-        return Decision("STOP", "MALFORMED_RECORD", [str(problem)])
-    if not isinstance(record, dict):
-        return Decision("STOP", "MALFORMED_RECORD", ["not an object"])
-    if record.get("version") != VERSION:
-        return Decision("STOP", "UNSUPPORTED_VERSION", [record.get("version")])
-    if missing := [k for k in REQUIRED if k not in record]:
-        return Decision("STOP", "INCOMPLETE_RECORD", missing)
-    present = _now(stage, spark) | {"output": identity(spark.read.parquet(stage.output))}
-    differ = [k for k, v in present.items() if record[k] != v]
-    if record["validation"].get("status") != "PASS":
-        differ.append("validation")
-    return Decision("STOP", "MISMATCH", differ) if differ else Decision("REUSE", "RECORD_HOLDS", [])
+        noted = json.loads(store.read(stage.place("note")))["fingerprint"]
+        checks = noted["checks"]
+    except (ValueError, KeyError, TypeError) as problem:
+        return Outlook("halt", (f"the note cannot be read: {problem!r}",))
+    present = fingerprint(stage, spark, spark.read.parquet(stage.output), checks)
+    changed = tuple(sorted(k for k in present.keys() | noted.keys() if present.get(k) != noted.get(k)))
+    return Outlook("halt", changed) if changed else Outlook("keep")
 
 
 def complete(stage: Stage, spark: SparkSession) -> DataFrame:
-    """The stage's table: reused, or built, validated, renamed and recorded in that order."""
-    found = decide(stage, spark)
-    if found.action == "STOP":
-        raise RuntimeError(f"{stage.name}: {found.code} {found.detail}")
-    if found.action == "REUSE":
+    """The stage's table: kept, or built, checked, renamed and noted in that order."""
+    found = outlook(stage, spark)
+    if found.what == "halt":
+        raise RuntimeError(f"{stage.name}: {', '.join(found.because)}")
+    if found.what == "keep":
         return spark.read.parquet(stage.output)
-    store, part = Store(spark), stage.output + ".part"
+    store, draft = Store(spark), stage.place("draft")
     try:
-        stage.build(spark, stage.config).write.parquet(part)
-        detail = (stage.validate or (lambda df: {}))(spark.read.parquet(part))
+        stage.build(spark, stage.config).write.parquet(draft)
+        checks = (stage.validate or (lambda df: {}))(spark.read.parquet(draft))
     except BaseException:
-        if store.exists(part):
-            store.remove(part)
+        if store.exists(draft):
+            store.remove(draft)
         raise
-    store.rename(part, stage.output)
+    store.rename(draft, stage.output)
     out = spark.read.parquet(stage.output)
-    record = {"version": VERSION, **_now(stage, spark), "output": identity(out), "validation": {"status": "PASS", "detail": detail}, "completed_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
-    store.write(record_path(stage), json.dumps(record, indent=2, sort_keys=True))
+    note = {"fingerprint": fingerprint(stage, spark, out, json.loads(json.dumps(checks))), "at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    store.write(stage.place("note"), json.dumps(note, indent=2, sort_keys=True))
     return out
 
 
-def quarantine(spark: SparkSession, root: str, paths: list[str], reason: str) -> str:
-    """Moves what exists of ``paths`` into the next numbered folder under ``root`` and says why; deletes nothing."""
+def set_aside(spark: SparkSession, root: str, stage: Stage, reason: str) -> str:
+    """Moves what the stage has on disk into the next numbered folder under ``root`` and says why; deletes nothing."""
     store = Store(spark)
     number = 1 + max([0, *(int(n) for n in store.names(root) if n.isdigit())])
     slot = f"{root}/{number:03d}"
-    moved = []
-    for path in paths:
-        if store.exists(path):
-            store.rename(path, f"{slot}/{path.rstrip('/').rsplit('/', 1)[1]}")
-            moved.append(path)
-    store.write(f"{slot}/reason.json", json.dumps({"reason": reason, "moved": moved}))
+    moved = [t for t in THINGS if store.exists(stage.place(t))]
+    for t in moved:
+        store.rename(stage.place(t), f"{slot}/{t}")
+    store.write(f"{slot}/reason.json", json.dumps({"reason": reason, "moved": moved, "from": stage.output}))
     return slot
 
 
-def explain(stages: list[Stage], spark: SparkSession) -> list[tuple[str, str, str]]:
+def preview(stages: list[Stage], spark: SparkSession) -> list[tuple[str, Outlook]]:
     """Each stage with what would happen to it, without running any."""
-    return [(s.name, d.action, d.code) for s in stages for d in [decide(s, spark)]]
+    return [(s.name, outlook(s, spark)) for s in stages]
 
 
 def run(stages: list[Stage], spark: SparkSession) -> dict[str, DataFrame]:
@@ -190,27 +229,42 @@ def run(stages: list[Stage], spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def ranking_stages(root: str, sf_dir: str) -> list[Stage]:
-    """Log to ranked slates and their metric: the smallest whole path as a list of stages."""
-    from ..operators.replay import mrr
+    """Log to chained scores and their metrics: a whole path as a list of stages."""
+    from ..operators import replay, reports, rules
     from ..sources import tables as T
     from . import features as P
 
+    at = {n: f"{root}/{n}" for n in ("log", "train", "slates", "sets", "triples", "labels", "demotions", "scores", "chain", "metric", "chain_metric")}
+
+    def plain(name: str, inputs: tuple[str, ...], build: Callable[..., DataFrame], validate: Callable[[DataFrame], dict] | None = None) -> Stage:
+        def read(spark: SparkSession, config: dict) -> DataFrame:
+            return build(*[spark.read.parquet(config[i]) for i in inputs])
+
+        return Stage(name, at[name], read, tuple(at[i] for i in inputs), {i: at[i] for i in inputs}, validate)
+
     def log(spark: SparkSession, config: dict) -> DataFrame:
-        return T.events_log(spark, config["sf_dir"])
+        return T.orders_log(spark, config["sf_dir"])
 
-    def slates(spark: SparkSession, config: dict) -> DataFrame:
-        return T.slates(spark.read.parquet(config["log"]))
+    def whole(df: DataFrame) -> dict:
+        rows = df.select("row_id").distinct().count()
+        reports.validate_matrix(df, rows, T.WIDTH)
+        return {"rows": rows}
 
-    def scores(spark: SparkSession, config: dict) -> DataFrame:
-        return P.simple_blend(spark.read.parquet(config["slates"]), T.train_part(spark.read.parquet(config["log"])))
+    def squeezed(slates: DataFrame, train: DataFrame) -> DataFrame:
+        from ..functions.scores import row_minmax
 
-    def metric(spark: SparkSession, config: dict) -> DataFrame:
-        return mrr(spark.read.parquet(config["scores"]))
+        return P.simple_blend(slates, train).withColumn("score", row_minmax(F.col("score")))
 
-    at = {n: f"{root}/{n}" for n in ("log", "slates", "scores", "metric")}
     return [
         Stage("log", at["log"], log, (), {"sf_dir": sf_dir}),
-        Stage("slates", at["slates"], slates, (at["log"],), {"log": at["log"]}),
-        Stage("scores", at["scores"], scores, (at["log"], at["slates"]), {"log": at["log"], "slates": at["slates"]}),
-        Stage("metric", at["metric"], metric, (at["scores"],), {"scores": at["scores"]}),
+        plain("train", ("log",), T.train_part),
+        plain("slates", ("log",), T.slates),
+        plain("sets", ("slates", "train"), rules.slate_sets),
+        plain("triples", ("sets",), rules.triple_rule),
+        plain("labels", ("sets", "triples"), lambda sets, triples: rules.answer_labels(triples, rules.pair_labels(sets, triples))),
+        plain("demotions", ("slates", "labels", "triples"), rules.zero_repeat_demotions),
+        plain("scores", ("slates", "train"), squeezed, whole),
+        plain("chain", ("scores", "train"), P.ds2_chain, whole),
+        plain("metric", ("scores",), replay.mrr),
+        plain("chain_metric", ("chain", "slates"), lambda chain, slates: replay.mrr(chain.join(slates.select("row_id", "pos", "label"), ["row_id", "pos"]))),
     ]
