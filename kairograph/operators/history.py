@@ -26,11 +26,16 @@ def history_count(cells: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def history_before_time(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """``(row_id, hist)``: the source's destinations strictly before the row's time, in order of (time, dst)."""
-    earlier = log.select("src", "dst", F.col("time").alias("at"))
-    met = rows.select("row_id", "src", "time").join(earlier, "src").where("at < time")
-    lists = met.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "dst"))).alias("h"))
-    return lists.select("row_id", F.col("h.dst").alias("hist"))
+    """``(row_id, hist)``: the source's destinations strictly before the row's time, in order of (time, dst).
+
+    A source's history is collected once and cut for each of its rows: rows of a busy
+    source share it, and no row meets the log's rows one by one.
+    """
+    asked = rows.select("src").distinct()
+    whole = log.join(asked, "src", "left_semi").groupBy("src").agg(F.sort_array(F.collect_list(F.struct(F.col("time").alias("at"), "dst"))).alias("h"))
+    met = rows.select("row_id", "src", "time").join(whole, "src")
+    earlier = F.filter("h", lambda e: e["at"] < F.col("time"))
+    return met.select("row_id", F.transform(earlier, lambda e: e["dst"]).alias("hist")).where(F.size("hist") > 0)
 
 
 def reverse_edge(cells: DataFrame) -> DataFrame:
@@ -45,19 +50,33 @@ def warm_flag(cells: DataFrame, log: DataFrame) -> DataFrame:
     return cells.join(known, "cand", "left").withColumn("warm", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def cooc_cf(pairs_wanted: DataFrame, log: DataFrame) -> DataFrame:
+def cooc_cf(pairs_wanted: DataFrame, log: DataFrame, by: str | None = None) -> DataFrame:
     """``(src, cand, cooc)`` of the wanted pairs.
 
-    ``x_u = sum_d w(u, d) w(src, d)`` over other sources u, and the score is
-    ``sum_u x_u w(u, cand) / sqrt(count(cand) + 1)``. Only sources that are asked
-    for take part, and x is formed per wanted pair's users only.
+    ``sum_u sum_d w(src, d) w(u, d) w(u, cand) / sqrt(count(cand) + 1)`` over other
+    sources u. The triple product is taken in the cheaper order: by sources (pairs of
+    sources that share a destination) or by destinations (pairs of destinations that
+    share a source), whichever has the smaller sum of squared degrees, counted first.
+    All terms are whole numbers, so both orders give the same sums.
     """
     w = pair_weights(log)
     wanted = pairs_wanted.select("src", "cand").distinct()
+    if by is None:
+        squares = lambda key: w.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        by = "dst" if squares("src") <= squares("dst") else "src"
     own = w.join(wanted.select("src").distinct(), "src", "left_semi")
-    x = own.alias("a").join(w.alias("b"), F.col("a.dst") == F.col("b.dst")).where("a.src <> b.src").groupBy(F.col("a.src").alias("src"), F.col("b.src").alias("u")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("x"))
-    users = w.select(F.col("src").alias("u"), F.col("dst").alias("cand"), F.col("w").alias("wc"))
-    sums = wanted.join(users, "cand").join(x, ["src", "u"]).groupBy("src", "cand").agg(F.sum(F.col("x") * F.col("wc")).alias("s"))
+    if by == "src":
+        x = own.alias("a").join(w.alias("b"), F.col("a.dst") == F.col("b.dst")).where("a.src <> b.src").groupBy(F.col("a.src").alias("src"), F.col("b.src").alias("u")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("x"))
+        users = w.select(F.col("src").alias("u"), F.col("dst").alias("cand"), F.col("w").alias("wc"))
+        sums = wanted.join(users, "cand").join(x, ["src", "u"]).groupBy("src", "cand").agg(F.sum(F.col("x") * F.col("wc")).alias("s"))
+    else:
+        # Only destinations that some wanted pair names meet the others, and a source's own part is taken off again.
+        named = w.join(wanted.select(F.col("cand").alias("dst")).distinct(), "dst", "left_semi").select("src", F.col("dst").alias("cand"), F.col("w").alias("wc"))
+        met = w.join(named, "src").groupBy("dst", "cand").agg(F.sum(F.col("w") * F.col("wc")).alias("m"))
+        norms = own.groupBy("src").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
+        self_part = own.select("src", F.col("dst").alias("cand"), F.col("w").alias("wc")).join(norms, "src").select("src", "cand", (-F.col("norm") * F.col("wc")).alias("s"))
+        full = wanted.join(own, "src").join(met, ["dst", "cand"]).select("src", "cand", (F.col("w") * F.col("m")).alias("s"))
+        sums = full.union(self_part).groupBy("src", "cand").agg(F.sum("s").alias("s"))
     pop = log.groupBy(F.col("dst").alias("cand")).agg((F.count(F.lit(1)) + 1).alias("pop"))
     return wanted.join(sums, ["src", "cand"], "left").join(pop, "cand", "left").select("src", "cand", (F.coalesce("s", F.lit(0)) / F.sqrt(F.coalesce("pop", F.lit(1)))).alias("cooc"))
 

@@ -58,8 +58,9 @@ def popularity_ratio(cells: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def slate_recurrence(cells: DataFrame) -> DataFrame:
-    """``recur``: cells of the same (src, cand) other than this one."""
-    return cells.withColumn("recur", F.count(F.lit(1)).over(Window.partitionBy("src", "cand")) - 1)
+    """``recur``: cells of the same (src, cand) other than this one; counted on the map side, then joined back."""
+    counts = cells.groupBy("src", "cand").agg((F.count(F.lit(1)) - 1).alias("recur"))
+    return cells.join(counts, ["src", "cand"]).select(*cells.columns, "recur")
 
 
 def candidate_pool(cells: DataFrame) -> DataFrame:
@@ -131,20 +132,39 @@ def virtual_edge_union(log: DataFrame, virtual: DataFrame) -> DataFrame:
     return real.union(virtual.select("src", "dst", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def dense_group_ids(df: DataFrame, *keys: str) -> DataFrame:
+def dense_group_ids(df: DataFrame, *keys: str, block: int = 1024) -> DataFrame:
     """``gid``: numbers of the distinct keys in their order.
 
-    Distinct keys are ranked within the first key, and each first key starts
-    after the groups of all smaller ones.
+    Distinct keys are ranked within blocks of ``block`` values of the first key,
+    and each block starts after the groups of all smaller ones; one row per block is
+    put in order by one task.
     """
     first = keys[0]
-    distinct = df.select(*keys).distinct()
-    sizes = distinct.groupBy(first).count()
-    before = sizes.select(first, (F.sum("count").over(Window.orderBy(first)) - F.col("count")).alias("before"))
-    ids = distinct.withColumn("within", F.row_number().over(Window.partitionBy(first).orderBy(*keys)) - 1).join(before, first)
-    return ids.select(*keys, (F.col("before") + F.col("within")).alias("gid"))
+    distinct = df.select(*keys).distinct().withColumn("__block", F.floor(F.col(first) / block))
+    sizes = distinct.groupBy("__block").count()
+    before = sizes.select("__block", (F.sum("count").over(Window.orderBy("__block")) - F.col("count")).alias("__before"))
+    ids = distinct.withColumn("__within", F.row_number().over(Window.partitionBy("__block").orderBy(*keys)) - 1).join(before, "__block")
+    return ids.select(*keys, (F.col("__before") + F.col("__within")).alias("gid"))
 
 
 def tail_split(log: DataFrame) -> DataFrame:
     """Each source's last interaction, by (time, dst)."""
     return log.groupBy("src").agg(F.max(F.struct("time", "dst")).alias("last")).select("src", "last.dst", "last.time")
+
+
+def before_tail(log: DataFrame) -> DataFrame:
+    """``(src, dst, time)``: what ``tail_split`` leaves; of interactions equal to a source's last one, one is taken away."""
+    counts = log.groupBy("src", "dst", "time").agg(F.count(F.lit(1)).alias("n"))
+    gone = tail_split(log).withColumn("gone", F.lit(1))
+    left = counts.join(gone, ["src", "dst", "time"], "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).where("n > 0")
+    return left.select("src", "dst", "time", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i")).drop("i")
+
+
+def clip_ids(df: DataFrame, column: str, n: int) -> DataFrame:
+    """``column`` clipped to the ids 0 to ``n`` - 1."""
+    return df.withColumn(column, F.least(F.greatest(F.col(column), F.lit(0).cast("long")), F.lit(n - 1).cast("long")))
+
+
+def tie_baseline(width: int) -> float:
+    """The mean reciprocal rank of a positive placed at random among ``width`` cells: the harmonic number over the width."""
+    return sum(1.0 / k for k in range(1, width + 1)) / width

@@ -17,22 +17,28 @@ def replay_positives(after: DataFrame, pool: DataFrame) -> DataFrame:
     return after.join(pool.select("src").distinct(), "src", "left_semi")
 
 
-def replay_negatives(queries: DataFrame, pool: DataFrame, n: int = NEGATIVES) -> DataFrame:
-    """``(qid, cand)``: up to ``n`` of the pool without the answer and the source, in an order given by a hash."""
+def replay_negatives(queries: DataFrame, pool: DataFrame, n: int = NEGATIVES, salt: int | None = None) -> DataFrame:
+    """``(qid, cand)``: up to ``n`` of the pool without the answer and the source, in an order given by a hash (another one for each ``salt``)."""
     met = queries.select("qid", "src", "dst").join(pool, "src").where("cand <> dst AND cand <> src")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(_order("qid", "cand"), "cand"))
-    return met.withColumn("place", place).where(F.col("place") <= n).select("qid", "cand")
+    salted = met if salt is None else met.withColumn("salt", F.lit(salt))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(_order("qid", "cand", *(["salt"] if salt is not None else [])), "cand"))
+    return salted.withColumn("place", place).where(F.col("place") <= n).select("qid", "cand")
 
 
-def replay_queries(after: DataFrame, pool: DataFrame, n: int = NEGATIVES) -> DataFrame:
-    """``(qid, src, time, pos, cand, label)``: negatives by candidate, the positive last. ``after`` has ``row_id``."""
-    q = replay_positives(after, pool).withColumnRenamed("row_id", "qid")
-    negatives = replay_negatives(q, pool, n).join(q.select("qid", "src", "time"), "qid")
-    both = negatives.select("qid", "src", "time", "cand", F.lit(0).alias("label")).union(q.select("qid", "src", "time", F.col("dst").alias("cand"), F.lit(1).alias("label")))
+def with_positions(queries: DataFrame, negatives: DataFrame) -> DataFrame:
+    """``(qid, src, time, pos, cand, label)``: negatives by candidate, the positive last."""
+    own = negatives.join(queries.select("qid", "src", "time"), "qid")
+    both = own.select("qid", "src", "time", "cand", F.lit(0).alias("label")).union(queries.select("qid", "src", "time", F.col("dst").alias("cand"), F.lit(1).alias("label")))
     pos = F.row_number().over(Window.partitionBy("qid").orderBy("label", "cand")) - 1
     return both.withColumn("pos", pos.cast("long")).select("qid", "src", "time", "pos", "cand", "label")
 
 
+def replay_queries(after: DataFrame, pool: DataFrame, n: int = NEGATIVES) -> DataFrame:
+    """``(qid, src, time, pos, cand, label)`` of the positives and their negatives. ``after`` has ``row_id``."""
+    q = replay_positives(after, pool).withColumnRenamed("row_id", "qid")
+    return with_positions(q, replay_negatives(q, pool, n))
+
+
 def source_folds(log: DataFrame) -> DataFrame:
     """``(src, fold)``: two folds of sources by a hash."""
     return log.select("src").distinct().select("src", (F.conv(F.substring(F.md5(F.col("src").cast("string")), 1, 8), 16, 10).cast("long") % 2).alias("fold"))

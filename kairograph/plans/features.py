@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import row_minmax, rownorm
 from ..operators import crf, feedback, history, popularity, rules
+from ..sources.shared import written
 
 #: Blend weights of the two scenarios.
 WEIGHTS_DS1 = {"collab": 0.5, "rpop": 1.25, "icf_mean": 2.0, "icf_top3": 1.2, "cooc": 0.3, "dot": 9.0, "history": 16.0}
@@ -122,11 +123,11 @@ def ds2_chain(cells: DataFrame, log: DataFrame) -> DataFrame:
     """Chain model, min-max, triple promotion, demotions (an existing level is kept), cross-time decoding."""
     from ..functions.scores import promote_in_unit
 
-    # Each of these is read by several steps; what memory cannot hold is kept on disk.
-    base = cells.select("row_id", "src", "time", "pos", "cand", "score").persist()
-    sets = rules.slate_sets(base, log).persist()
-    triples = rules.triple_rule(sets).persist()
-    labels = rules.answer_labels(triples, rules.pair_labels(sets, triples)).persist()
+    # Each of these is read by several steps.
+    base = written(cells.select("row_id", "src", "time", "pos", "cand", "score"), "cells")
+    sets = written(rules.slate_sets(base, log), "sets")
+    triples = written(rules.triple_rule(sets), "triples")
+    labels = written(rules.answer_labels(triples, rules.pair_labels(sets, triples)), "labels")
     scored = crf.equality_crf(base, log)
     scored = scored.withColumn("score", row_minmax(F.col("score")))
     marked = scored.join(triples.select("row_id", F.col("cand").alias("answer")), "row_id", "left")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..operators import crf, feedback, history, models, popularity, replay, reports, rules
+from ..operators import crf, embedding, feedback, history, models, popularity, replay, reports, rules
 from ..sources import tables as T
+from ..sources.shared import written
+from . import chains
 from . import features as P
 from .oracle import _norm, statement
 
@@ -55,8 +58,9 @@ class Inputs:
 
     @property
     def labelled(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        sets = self.sets
-        triples = rules.triple_rule(sets)
+        """Triple labels, pair labels, and both; sets and triples are read several times, and so are written once."""
+        sets = written(self.sets, "sets")
+        triples = written(rules.triple_rule(sets), "triples")
         pairs = rules.pair_labels(sets, triples)
         return triples, pairs, rules.answer_labels(triples, pairs)
 
@@ -76,6 +80,11 @@ def _r(df: DataFrame, *columns: str, places: int = 6, shift: float = 0.0) -> Dat
     return df.withColumns({c: F.round(F.col(c) + shift if shift else F.col(c), places) for c in columns})
 
 
+def _with_labels(i: Inputs, rule: Callable[..., DataFrame]) -> DataFrame:
+    triples, _, labels = i.labelled
+    return rule(i.cells, labels, triples)
+
+
 E, O = "events", "orders"
 CELL = ["row_id", "pos"]
 
@@ -180,8 +189,8 @@ _query("pair_labels", O, "SELECT row_id, cand FROM pairs")(lambda i: i.labelled[
 _query("answer_labels", O, "SELECT row_id, cand, from_triple FROM labels_")(lambda i: i.labelled[2])
 _query("structural_labels", O, "SELECT row_id, cand, from_triple FROM labels_")(lambda i: rules.structural_labels(i.sets))
 _query("pair_promotion", O, "SELECT target AS row_id, min(c) AS cand FROM (SELECT c.row_id + 1 AS target, a.c1 AS c, b.c1 AS own, common FROM common1 c JOIN tops a ON a.row_id = c.row_id JOIN tops b ON b.row_id = c.row_id + 1 UNION ALL SELECT c.row_id, b.c1, a.c1, common FROM common1 c JOIN tops a ON a.row_id = c.row_id JOIN tops b ON b.row_id = c.row_id + 1) WHERE list_contains(common, c) AND c <> own AND target NOT IN (SELECT row_id FROM triples) GROUP BY target HAVING count(DISTINCT c) = 1")(lambda i: rules.pair_promotion(i.cells, i.sets, i.labelled[0]))
-_query("zero_repeat_exclusion", O, "SELECT row_id, pos FROM excluded")(lambda i: rules.zero_repeat_exclusion(i.cells, i.labelled[2], i.labelled[0]))
-_query("zero_repeat_demotions", O, "SELECT row_id, pos, level FROM demoted")(lambda i: rules.zero_repeat_demotions(i.cells, i.labelled[2], i.labelled[0]))
+_query("zero_repeat_exclusion", O, "SELECT row_id, pos FROM excluded")(lambda i: _with_labels(i, rules.zero_repeat_exclusion))
+_query("zero_repeat_demotions", O, "SELECT row_id, pos, level FROM demoted")(lambda i: _with_labels(i, rules.zero_repeat_demotions))
 _query("apply_demotions", O, "SELECT c.row_id, c.pos, round(CASE WHEN count(level) OVER (PARTITION BY c.row_id) = 0 THEN score WHEN level IS NULL THEN 0.01 + 0.9899 * score ELSE 0.001 * level END, 6) AS score FROM cells c LEFT JOIN demoted d ON d.row_id = c.row_id AND d.pos = c.pos")(lambda i: _r(rules.apply_demotions(i.cells, rules.zero_repeat_demotions(i.cells, i.labelled[2], i.labelled[0])).select(*CELL, "score"), "score"))
 _query("run_exclusion", O, "SELECT s.row_id, s.pos, 1 AS level FROM slates s JOIN (SELECT *, max(n) OVER (PARTITION BY time, cand) AS top FROM (SELECT *, count(*) OVER (PARTITION BY time, cand, isl) AS n FROM (SELECT *, row_id - row_number() OVER (PARTITION BY time, cand ORDER BY row_id) AS isl FROM (SELECT DISTINCT row_id, time, cand FROM slates JOIN warmd ON dst = cand)))) r ON r.row_id = s.row_id AND r.cand = s.cand WHERE top >= 2 AND n < top AND NOT EXISTS (SELECT 1 FROM triples t WHERE t.row_id = s.row_id AND t.cand = s.cand)")(lambda i: rules.run_exclusion(i.slates, i.train, i.labelled[0]))
 _query("cross_time_exclusivity", O, "SELECT r.row_id, r.pos, round(CASE WHEN k.times >= 2 AND k.place > 1 THEN CASE WHEN r.pos = t.p1 THEN t.s2 WHEN r.pos = t.p2 THEN t.s1 ELSE r.score END ELSE r.score END, 6) AS score, k.times >= 2 AND k.place > 1 AS acted FROM cells r JOIN tops t ON t.row_id = r.row_id JOIN clusters k ON k.src = t.src AND k.c1 = t.c1 AND k.time = t.time")(lambda i: _r(rules.cross_time_exclusivity(i.cells).select(*CELL, "score", "acted"), "score"))
@@ -230,11 +239,36 @@ _query("source_folds", O, "SELECT src, CAST('0x' || md5(CAST(src AS VARCHAR))[1:
 _query("query_subsample", E, "SELECT row_id AS qid FROM q ORDER BY md5(CAST(row_id AS VARCHAR)), row_id LIMIT 100")(lambda i: replay.query_subsample(i.rows.select(F.col("row_id").alias("qid")), 100))
 
 # Not expressible in SQL, or approximate: checked by tests.
-_query("equality_crf", O)(lambda i: _r(crf.equality_crf(i.cells, i.train).select(*CELL, "score"), "score"))
+_query("equality_crf", O)(lambda i: _r(crf.equality_crf(written(i.cells, "cells"), i.train).select(*CELL, "score"), "score"))
 _query("ds2_chain", O)(lambda i: _r(P.ds2_chain(i.cells, i.train).select(*CELL, "score"), "score"))
 _query("svd_geometry", O)(lambda i: models.svd_geometry(i.train, 8))
-_query("bpr_embedding", E)(lambda i: models.train_embedding(i.train, "bpr", epochs=3))
-_query("line_embedding", E)(lambda i: models.train_embedding(i.train, "line", epochs=3))
+_query("bpr_embedding", E)(lambda i: embedding.train_embedding(i.train, "bpr", epochs=3))
+_query("line_embedding", E)(lambda i: embedding.train_embedding(i.train, "line", epochs=3, tau=0.25))
+_query("equality_crf_band", O)(lambda i: _r(crf.equality_crf(written(i.cells, "cells"), i.train, width=3, power=0.5, eta=1.0).select(*CELL, "score"), "score"))
+_BAND = " UNION ALL ".join(f"SELECT a.row_id, {d} AS distance, unnest(list_intersect(a.warm, b.warm)) AS cand FROM sets a JOIN sets b ON b.row_id = a.row_id + {d} WHERE a.time = b.time AND a.src <> b.src" for d in (1, 2, 3))
+_query("band_shared_candidates", O, _BAND)(lambda i: rules.band_shared(written(i.sets, "sets"), 3))
+_query("before_tail", E, "SELECT src, dst, time FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time DESC, dst DESC) AS r FROM log) WHERE r > 1")(lambda i: popularity.before_tail(i.log))
+_query("clip_ids", E, "SELECT row_id, pos, least(greatest(cand, 0), 49) AS cand FROM slates")(lambda i: popularity.clip_ids(i.slates, "cand", 50).select(*CELL, "cand"))
+_query("tie_baseline", O, "SELECT width, round((SELECT sum(1.0 / k) FROM range(1, 22) AS r(k)) / width, 9) AS mrr FROM (SELECT max(pos) + 1 AS width FROM slates)")(lambda i: i.slates.agg((F.max("pos") + 1).alias("width")).select("width", F.lit(round(popularity.tie_baseline(T.WIDTH), 9)).alias("mrr")))
+_query("score_matrix_scan", O, "SELECT row_id, pos, round(score, 6) AS score FROM cells")(lambda i: _score_matrix(i))
+_query("real_candidate_eval", E)(lambda i: chains.real_candidate_eval(i.log, popularity.candidate_pool(i.slates), P.simple_blend))
+
+
+def _score_matrix(i: Inputs) -> DataFrame:
+    """The scores written as lines of text and read again."""
+    from ..sources import matrices
+    from ..sources.shared import shared_folder
+
+    path = f"{shared_folder(i.spark)}/matrix-{uuid.uuid4().hex}"
+    matrices.write_score_matrix(i.cells, path)
+    return matrices.read_score_matrix(i.spark, path, T.WIDTH)
+
+
+@_query("three_pass", E)
+def _three_pass(i: Inputs) -> DataFrame:
+    cells = written(i.cells.drop("score"), "cells")
+    rows = history.history_count(P.with_candidates(cells, i.train), i.train).select("row_id", "pos", "cand", "label", "n_hist", "rpop", "pop_log", "recency", "freq")
+    return replay.mrr(chains.three_pass(cells, i.train, rows, ["n_hist", "rpop", "pop_log", "recency", "freq"], rounds=2, rate=0.3, depth=3))
 
 
 @_query("lambdamart", E)

@@ -48,17 +48,25 @@ def test_part(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(cut_time(log))).where("time > cut").drop("cut")
 
 
+#: Destinations of one block in which a time's rows are numbered.
+BLOCK = 1024
+
+
 def numbered(rows: DataFrame) -> DataFrame:
-    """Distinct rows numbered by (time, dst, src), without sorting all rows in one task.
+    """Distinct rows numbered by (time, dst, src): ``row_id`` over all, ``rn`` within the time.
 
-    Rows are numbered within their time, and each time starts after the rows of
-    all earlier times; only the times' sizes are summed in order.
+    Rows are numbered within a time and ``BLOCK`` destinations, and each block starts
+    after the rows of all earlier ones. Only the blocks' sizes, not their rows, are
+    summed in order, so a busy time is no task of its own.
     """
-    distinct = rows.select("src", "dst", "time").distinct()
-    sizes = distinct.groupBy("time").count()
-    before = sizes.select("time", (F.sum("count").over(Window.orderBy("time")) - F.col("count")).alias("before"))
-    within = distinct.withColumn("rn", F.row_number().over(Window.partitionBy("time").orderBy("dst", "src")).cast("long") - 1)
-    return within.join(before, "time").withColumn("row_id", F.col("before") + F.col("rn")).drop("before")
+    distinct = rows.select("src", "dst", "time").distinct().withColumn("block", F.floor(F.col("dst") / BLOCK))
+    sizes = distinct.groupBy("time", "block").count()
+    ordered = Window.orderBy("time", "block")
+    placed = sizes.withColumn("before", F.sum("count").over(ordered) - F.col("count"))
+    before = placed.select("time", "block", "before", F.min("before").over(Window.partitionBy("time")).alias("start"))
+    within = distinct.withColumn("n", F.row_number().over(Window.partitionBy("time", "block").orderBy("dst", "src")).cast("long") - 1)
+    found = within.join(before, ["time", "block"]).withColumn("row_id", F.col("before") + F.col("n"))
+    return found.select("time", "src", "dst", (F.col("row_id") - F.col("start")).alias("rn"), "row_id")
 
 
 def slates(log: DataFrame) -> DataFrame:
