@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import demoted, promoted_value, row, row_max_normalise, row_minmax, stable_rank
+from ..sources.shared import written
 from .history import history_mask, reverse_edge, warm_flag
 from .popularity import slate_recurrence
 
@@ -122,14 +123,14 @@ def run_exclusion(cells: DataFrame, log: DataFrame, protected: DataFrame, min_ru
     candidate are numbered in blocks of ``RUN_BLOCK`` row ids, and only the blocks'
     last starts are put in order, so a popular candidate's rows are not one task.
     """
-    warm = warm_flag(cells, log).where("warm").select("row_id", "time", "pos", "cand")
+    warm = written(warm_flag(cells, log).where("warm").select("row_id", "time", "pos", "cand"), "warm")
     rows = warm.select("row_id", "time", "cand").distinct()
     before = rows.select((F.col("row_id") + 1).alias("row_id"), "time", "cand", F.lit(True).alias("goes_on"))
     marked = rows.join(before, ["row_id", "time", "cand"], "left").select("row_id", "time", "cand", F.floor(F.col("row_id") / RUN_BLOCK).alias("block"), F.when(F.col("goes_on").isNull(), F.col("row_id")).alias("start"))
     key = ["time", "cand"]
     within = F.max("start").over(Window.partitionBy(*key, "block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     carry = marked.groupBy(*key, "block").agg(F.max("start").alias("s")).select(*key, "block", F.max("s").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    runs = marked.withColumn("within", within).join(carry, [*key, "block"]).select("row_id", *key, F.coalesce("within", "carry").alias("run"))
+    runs = written(marked.withColumn("within", within).join(carry, [*key, "block"]).select("row_id", *key, F.coalesce("within", "carry").alias("run")), "runs")
     sizes = runs.groupBy(*key, "run").agg(F.count(F.lit(1)).alias("n"))
     longest = sizes.groupBy(*key).agg(F.max("n").alias("top"))
     short = runs.join(sizes.join(longest, key).where((F.col("top") >= min_run) & (F.col("n") < F.col("top"))), [*key, "run"]).select("row_id", "cand")
