@@ -36,12 +36,14 @@ from .session import table
 from .textbytes import pieces, release
 
 #: Words that a task remembers from one batch to the next, and the longest of them in bytes.
-KEEP, LONGEST = 250_000, 64
+KEEP, LONGEST = 180_000, 64
+#: Bytes of texts, about, that are encoded at a time.
+SLICE = 1 << 19
 #: Words of one recursive query.
 WORDS_A_QUERY = 16_000
 
 #: Ids of one decoding query.
-IDS_A_QUERY = 1_000_000
+IDS_A_QUERY = 200_000
 #: Rows of all rounds of one recursive query, about; what is not yet ended goes on in the next query.
 ROWS_A_QUERY = 2_000_000
 #: Bytes from which a word has a pair contracted wherever none near it has a smaller rank, not only its leftmost pair of minimum rank.
@@ -262,7 +264,7 @@ def codec(ranks, pattern: str) -> Codec:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    for a, _, offsets in pieces(batch.column(1)):
+    for a, _, offsets in pieces(batch.column(1), limit=SLICE):
         b = a + len(offsets) - 1
         yield a, b, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
 

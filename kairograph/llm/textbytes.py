@@ -46,11 +46,11 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         start = end
 
 
-def pieces(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, rows: int = 512, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, bytes, offsets)`` of consecutive rows of a string column, copied a few rows at a time."""
     for at in range(0, len(column), rows):
         data, offsets = byte_column(column.slice(at, rows))
-        for a, b in row_slices(offsets):
+        for a, b in row_slices(offsets, limit):
             yield at + a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
