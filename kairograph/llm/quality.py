@@ -5,7 +5,9 @@ trusted text (every document whose labels all say quality 1). Sharded count join
 give the value of every n-gram of the scored documents; a document's perplexity
 is exp of its mean negative log probability per byte. A document is kept if its
 perplexity is at most ``MARGIN`` times a quantile of the trusted documents'
-perplexities in its own language.
+perplexities in its own language. The quantile is the nearest rank over all of them,
+counted in steps of ``STEP`` nats a byte, so neither the order of rows nor the number
+of partitions moves it.
 
 Defined cases: null and empty texts have no perplexity and are rejected; a null
 language, or one with no trusted document, takes the quantile of all trusted
@@ -18,15 +20,18 @@ through, whatever their names.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kneser
 from .session import small, stored, table
 
 ORDER = 5
-#: The quantile of trusted perplexities per language, its sketch's accuracy, and the allowance above it.
-QUANTILE, ACCURACY, MARGIN = 0.99, 10_000, 1.1
+#: The quantile of trusted perplexities per language, and the allowance above it.
+QUANTILE, MARGIN = 0.99, 1.1
+#: Nats a byte that are counted together, rounded up: a hundredth of a percent of a perplexity. A byte's surprise is
+#: some 20 nats at most, so a language has about 200,000 steps at any size.
+STEP = 1e-4
 
 
 def _mean_surprise(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -42,18 +47,29 @@ def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "
     return small(agreed.where("a = 1 AND b = 1").select("__trusted"))
 
 
+def bounds(sample: DataFrame) -> DataFrame:
+    """``(every, lang, bound)`` of ``sample(lang, surprise)``: the quantile's perplexity of each language, and of all rows."""
+    step = F.ceil(F.col("surprise") / STEP).alias("step")
+    counts = stored(sample.where(~F.isnan("surprise")).groupBy("lang", step).agg(F.count(F.lit(1)).alias("n")), "quality-steps")
+    every = counts.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(True).alias("every"), F.lit(None).cast(counts.schema["lang"].dataType).alias("lang"), "step", "n")
+    levels = counts.where("lang IS NOT NULL").select(F.lit(False).alias("every"), "lang", "step", "n").union(every)
+    rows = Window.partitionBy("every", "lang")
+    ranked = levels.select("every", "lang", "step", F.sum("n").over(rows.orderBy("step")).alias("upto"), F.sum("n").over(rows).alias("total"))
+    reached = ranked.where(F.col("upto") >= F.ceil(F.col("total") * QUANTILE))
+    return reached.groupBy("every", "lang").agg(F.exp(F.min("step") * STEP).alias("bound"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", kept_col: str = "kept", perplexity_col: str = "perplexity", text: bool = True, limit: int = kneser.BROADCAST_GRAMS) -> DataFrame:
     """``docs``, without the text if that is not wanted, with ``perplexity`` and ``kept``; columns of those names are replaced."""
     trusted = docs.join(trusted_ids(labels, id_col=id_col), F.col(f"`{id_col}`") == F.col("__trusted"), "left_semi")
     model = kneser.fit(trusted.select(F.col(text_col).alias("text"), F.lit(0).alias("cls")), ORDER)
     scorer = kneser.Scorer(docs, model, lambda v: v.select("g", F.col("v0").alias("v")), text_col=text_col, limit=limit)
     perplexity = F.when(~F.isnan("__surprise"), F.exp("__surprise"))
-    sample = scorer.score(trusted.select(id_col, text_col, lang_col), _mean_surprise, ["__surprise"], text=False).select(F.col(lang_col).alias("__lang"), perplexity.alias("p"))
-    quantile = F.percentile_approx("p", QUANTILE, ACCURACY)
+    sample = scorer.score(trusted.select(id_col, text_col, lang_col), _mean_surprise, ["__surprise"], text=False)
     # One row per language and one for all; languages number few, but the join is left to the optimizer all the same.
-    bounds = stored(sample.cube("__lang").agg(F.grouping("__lang").alias("all"), quantile.alias("__bound")), "quality-bounds")
-    overall = bounds.where("all = 1").agg(F.max("__bound")).first()[0]
-    own = bounds.where("all = 0 AND __lang IS NOT NULL").select("__lang", "__bound")
+    found = stored(bounds(sample.select(F.col(lang_col).alias("lang"), F.col("__surprise").alias("surprise"))), "quality-bounds")
+    overall = found.where("every").agg(F.max("bound")).first()[0]
+    own = found.where("NOT every").select(F.col("lang").alias("__lang"), F.col("bound").alias("__bound"))
     scored = scorer.score(docs, _mean_surprise, ["__surprise"], text=text).join(own, F.col(lang_col) == F.col("__lang"), "left")
     bound = F.coalesce("__bound", F.lit(overall).cast("double")) * MARGIN
     kept = F.when(perplexity.isNull(), False).otherwise(F.coalesce(perplexity <= bound, F.lit(True)))

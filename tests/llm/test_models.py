@@ -31,6 +31,44 @@ def test_perplexity_is_that_of_plain_counts(spark, limit):
     assert found[0].g == "g" and found[0].bound == "bound"
 
 
+def test_kept_by_the_quantile_of_each_language(spark):
+    rows = odd_rows() + [(300 + k, words(20 + k, 900 + k), ["en", "fr", "de", None][k % 4]) for k in range(60)]
+    rows += [(400 + k, "#%& " * (3 + k) + words(k, k), ["en", "xx", None][k % 3]) for k in range(40)]
+    marks = labels(spark, [(k, 1, 0) for k in (*range(24), *range(300, 360))])
+    trusted = [(t, g) for i, t, g in rows if i is not None and (i < 24 or 300 <= i < 360)]
+    model = Kneser([t for t, _ in trusted], quality.ORDER, kneser.discounts)
+
+    def bound(ps):
+        return sorted(ps)[math.ceil(0.99 * len(ps)) - 1] * 1.1 if ps else None
+
+    every = bound([model.perplexity(t) for t, _ in trusted])
+    own = {g: bound([model.perplexity(t) for t, x in trusted if x == g]) for g in ("en", "fr", "de")}
+    found = quality.classify(docs(spark, rows), marks).collect()
+    near = 0
+    for r in found:
+        p, limit = model.perplexity(r.text), own.get(r.lang, every)
+        if p is not None and abs(p / limit - 1) < 1e-3:
+            near += 1
+        else:
+            assert r.kept == (p is not None and p <= limit)
+    assert len(found) == len(rows) and near < 3 and 20 < sum(r.kept for r in found) < len(rows) - 10
+
+
+def test_bounds_do_not_depend_on_the_order_of_rows(spark):
+    import numpy as np
+
+    values = np.random.default_rng(7).normal(1.6, 0.1, 30_000).round(12)
+    langs = [["en", "fr", None][k % 3] for k in range(len(values))]
+    rows = list(zip(langs, values.tolist(), strict=True)) + [("en", float("nan")), ("none", float("nan"))]
+    table = spark.createDataFrame(rows, "lang string, surprise double")
+    got = [{(r.every, r.lang): r.bound for r in quality.bounds(t).collect()} for t in (table.repartition(2), table.orderBy("surprise").repartition(23))]
+    assert got[0] == got[1] and set(got[0]) == {(True, None), (False, "en"), (False, "fr")}
+    for every, lang in got[0]:
+        own = sorted(v for g, v in zip(langs, values, strict=True) if every or g == lang)
+        exact = own[math.ceil(0.99 * len(own)) - 1]
+        assert exact <= math.log(got[0][every, lang]) + 1e-9 <= exact + quality.STEP + 2e-9
+
+
 def test_discounts():
     assert kneser.discounts({1: 4, 2: 2, 3: 1, 4: 1}) == pytest.approx((0.5, 1.25, 1.0))
     assert kneser.discounts({1: 4}) == kneser.PLAIN
