@@ -49,41 +49,40 @@ ROWS_A_QUERY = 2_000_000
 #: Bytes from which a word has a pair contracted wherever none near it has a smaller rank, not only its leftmost pair of minimum rank.
 LONG_WORD = 256
 
-#: ``state`` holds token-position rows with the token to the right; positions stay dense.
+#: ``state`` holds token-position rows with the token to the left (``beside``); positions stay dense. A contraction takes
+#: the right one of its two rows out, so every other row knows by itself what becomes of it.
 ENCODE_SQL = """
-WITH RECURSIVE state(round, word, pos, token, next) AS (
-    SELECT 0, word, pos, token, next FROM words
+WITH RECURSIVE state(round, word, pos, token, beside) AS (
+    SELECT 0, word, pos, token, beside FROM words
   UNION ALL (
     WITH least AS (
       SELECT s.word, min(m.token::BIGINT * 4294967296 + s.pos) AS packed
-      FROM state s JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next WHERE s.round < {rounds} GROUP BY s.word
+      FROM state s JOIN merges m ON m.pair = s.beside::BIGINT * 65536 + s.token WHERE s.round < {rounds} GROUP BY s.word
     ), best AS (
       SELECT word, (packed & 4294967295)::INTEGER AS pos, (packed >> 32)::INTEGER AS token FROM least
-    ), merged AS (
-      SELECT b.*, s.next FROM best b JOIN state s ON s.word = b.word AND s.pos = b.pos + 1
     )
-    SELECT s.round + 1, s.word, s.pos - (s.pos > m.pos)::INTEGER,
-      CASE WHEN s.pos = m.pos THEN m.token ELSE s.token END,
-      CASE WHEN s.pos = m.pos THEN m.next WHEN s.pos = m.pos - 1 THEN m.token ELSE s.next END
-    FROM state s JOIN merged m ON m.word = s.word
-    WHERE s.pos <> m.pos + 1
+    SELECT s.round + 1, s.word, s.pos - (s.pos > b.pos)::INTEGER,
+      CASE WHEN s.pos = b.pos - 1 THEN b.token ELSE s.token END,
+      CASE WHEN s.pos = b.pos + 1 THEN b.token ELSE s.beside END
+    FROM state s JOIN best b ON b.word = s.word
+    WHERE s.pos <> b.pos
   )
 )
-SELECT round, word, pos, token, next FROM state
+SELECT round, word, pos, token, beside FROM state
 """
 
-#: The same for long words, many contractions a round. ``pos`` is the token's first byte, and stays. No token is longer than
+#: The same for long words, many contractions a round; ``beside`` is the token to the right. ``pos`` is the token's first byte, and stays. No token is longer than
 #: ``{reach}`` bytes over these words, so a contraction further away cannot touch a pair before its own turn: a pair goes
 #: at once if none within reach has a smaller rank. Of equal ranks within reach the leftmost goes; where the token made
 #: has no pair of a smaller rank (not ``alone``), all of them do, every other one in a run of overlapping pairs.
 LONG_SQL = """
-WITH RECURSIVE state(round, word, pos, token, next) AS (
-    SELECT 0, word, pos, token, next FROM words
+WITH RECURSIVE state(round, word, pos, token, beside) AS (
+    SELECT 0, word, pos, token, beside FROM words
   UNION ALL (
     WITH pairs AS (
       SELECT s.word, s.pos, s.n, m.token, m.alone
       FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM state WHERE round < {rounds}) s
-      JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next
+      JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.beside
     ), near AS (
       SELECT *, n - row_number() OVER (PARTITION BY word, token ORDER BY n) AS island,
         min(token) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS before,
@@ -105,7 +104,7 @@ WITH RECURSIVE state(round, word, pos, token, next) AS (
     FROM kept WHERE gone IS NULL
   )
 )
-SELECT round, word, pos, token, next FROM state
+SELECT round, word, pos, token, beside FROM state
 """
 
 DECODE_SQL = """
@@ -174,9 +173,13 @@ class Codec:
             lengths = np.array([len(w) for w in own], np.int64)
             ends = np.cumsum(lengths)
             token = self.single[np.frombuffer(b"".join(own), np.uint8)]
-            after = np.append(token[1:], -1)
-            after[ends - 1] = -1
-            state = {"word": np.repeat(np.arange(len(own)), lengths), "pos": np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), "token": token, "next": after}
+            if query is LONG_SQL:
+                beside = np.append(token[1:], -1)
+                beside[ends - 1] = -1
+            else:
+                beside = np.append(-1, token[:-1])
+                beside[ends - lengths] = -1
+            state = {"word": np.repeat(np.arange(len(own)), lengths), "pos": np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), "token": token, "beside": beside}
             reach = int(self.reach[np.frombuffer(b"".join(own), np.uint8)].max())
             while len(state["word"]):
                 self._put("words", **{k: pa.array(v, pa.int32()) for k, v in state.items()})
