@@ -5,6 +5,10 @@ from collections import Counter
 import pytest
 
 from kairograph.operators import history
+from kairograph.plans import features, registry
+from kairograph.sources.shared import written
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -26,3 +30,13 @@ def test_cooccurrence_by_source_shuffles_no_pairs(spark, far):
     for (s, c), v in found.items():
         own = sum(w[s, d] * w[u * far, d] * w[u * far, c] for u in range(7) if u * far != s for d in range(9)) if s is not None and c is not None else 0
         assert v == pytest.approx(own / (total[c] + 1) ** 0.5)
+
+
+def test_features_by_source_shuffle_no_cells(spark):
+    """Cells that come dealt by source go through one shuffle, the one that dealt them, and give the rows of the undealt ones."""
+    inputs = registry.Inputs(spark, DATA, "orders")
+    log, cells = written(inputs.train, "log"), written(inputs.slates, "cells")
+    dealt = features.features_ds2(cells.repartition(4, "src"), log, inputs.vectors)
+    assert plan(dealt).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(dealt)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(dealt) == rows(features.features_ds2(cells, log, inputs.vectors))
