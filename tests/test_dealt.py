@@ -1,10 +1,11 @@
 """Operators at size: what is dealt by source is not shuffled again, and the results are those of plain loops."""
 
+import random
 from collections import Counter
 
 import pytest
 
-from kairograph.operators import history
+from kairograph.operators import history, replay
 from kairograph.plans import features, registry
 from kairograph.sources.shared import written
 
@@ -40,3 +41,16 @@ def test_features_by_source_shuffle_no_cells(spark):
     assert plan(dealt).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(dealt)
     rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert rows(dealt) == rows(features.features_ds2(cells, log, inputs.vectors))
+
+
+def test_rank_metric_of_rows_that_stay_together(spark):
+    """Ranks counted where the cells are, over batches that cut rows, are those by windows."""
+    r = random.Random(4)
+    cells = [(row, p, int(p == row % 9), r.randrange(5) / 4) for row in range(3000) for p in range(9 if row % 7 else 1) if p or row % 5]
+    df = spark.createDataFrame(cells, "row_id long, pos long, label int, score double").repartition(3, "row_id").sortWithinPartitions("row_id", "pos")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = replay.mrr(df, together=True)
+        assert plan(found).count("Exchange hashpartitioning") == 2 and found.collect() == replay.mrr(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
