@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 
-from kairograph.operators import history, replay
+from kairograph.operators import bysource, history, replay, rules
 from kairograph.plans import features, registry
+from kairograph.sources import stored
 from kairograph.sources.shared import written
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,39 @@ def test_rank_metric_of_rows_that_stay_together(spark):
         assert plan(found).count("Exchange hashpartitioning") == 2 and found.collect() == replay.mrr(df).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_chain_by_source_shuffles_no_cells_and_gives_what_its_rules_give(spark, monkeypatch):
+    """Few ids, so that everything happens; batches cut rows and sources; cells out of order are refused."""
+    r = random.Random(8)
+    slates = [(k, r.randrange(12), float(k // 40), [r.randrange(14) for _ in range(1 + k % 6)]) for k in range(400)]
+    cells = spark.createDataFrame([(k, s, t, p, c, r.randrange(40) / 40 - (k % 5 == 0)) for k, s, t, x in slates for p, c in enumerate(x)] + [(400, None, 0.0, 0, 1, 0.5)], "row_id long, src long, time double, pos long, cand long, score double")
+    log = spark.createDataFrame([(r.randrange(12), r.randrange(10), 0.0) for _ in range(30)] + [(None, 1, 0.0), (2, None, 0.0)], "src long, dst long, time double")
+    want, lifts = cells, []
+    for rule in (rules.source_slate_recurrence, rules.graph_reciprocity):
+        want = rule(want, log)
+        lifts.append(want.where("acted").count())
+        want = want.drop("acted")
+    assert min(lifts) > 3
+    monkeypatch.setattr(stored, "BLOCK", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        dealt = cells.repartition(3, "src").sortWithinPartitions("src", "row_id", "pos")
+        found = bysource.ds1_chain(dealt, log, dealt=True)
+        assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+        rows = lambda df: {(x.row_id, x.pos): pytest.approx(x.score, abs=1e-12) for x in df.collect()}
+        assert rows(found) == rows(want) == rows(bysource.ds1_chain(cells, log))
+        with pytest.raises(Exception, match="in order"):
+            bysource.ds1_chain(cells.repartition(1).sortWithinPartitions("pos"), log, dealt=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_groups_are_whole_in_every_slice():
+    import pyarrow as pa
+
+    keys = sorted(random.Random(1).choices(range(40), k=900)) + [50] * 300
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 70]), pa.array(range(k, min(k + 70, 1200)))], names=["a", "b"]) for k in range(0, 1200, 70)]
+    found = [(a.tolist(), b.tolist()) for a, b in stored.groups_in_order(batches, 2, order=2, size=100)]
+    assert sum((a for a, _ in found), []) == keys and sum((b for _, b in found), []) == list(range(1200)) and len(found) > 3
+    assert all(not set(found[k][0]) & set(found[k + 1][0]) for k in range(len(found) - 1))
