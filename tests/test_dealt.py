@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from kairograph.operators import bysource, history, replay, rules
+from kairograph.operators import byblock, bysource, history, replay, rules
 from kairograph.plans import features, registry
 from kairograph.sources import stored
 from kairograph.sources.shared import written
@@ -91,3 +92,20 @@ def test_groups_are_whole_in_every_slice():
     found = [(a.tolist(), b.tolist()) for a, b in stored.groups_in_order(batches, 2, order=2, size=100)]
     assert sum((a for a, _ in found), []) == keys and sum((b for _, b in found), []) == list(range(1200)) and len(found) > 3
     assert all(not set(found[k][0]) & set(found[k + 1][0]) for k in range(len(found) - 1))
+
+
+@pytest.mark.parametrize("first, last", [(4050, 4150), (1000, 6500)])
+def test_runs_by_block_shuffle_no_cells_and_are_those_by_joins(spark, first, last):
+    """Rows around the edges of blocks, one run over an edge that is longer than what is seen at first, and one of thousands of rows."""
+    r = random.Random(5)
+    rows = [(k, r.randrange(9), 0.0 if first <= k <= last else 1.0 + k // 300, [r.randrange(25) for _ in range(3)] + [7] * (first <= k <= last)) for k in range(8300) if k % 1000]
+    cells = spark.createDataFrame([(k, s, t, p, c) for k, s, t, x in rows for p, c in enumerate(x)] + [(8300, None, 3.0, 0, 1), (8301, 1, 3.0, 0, None)], "row_id long, src long, time double, pos long, cand long")
+    cells = written(cells.withColumn("block", F.floor(F.col("row_id") / byblock.ROWS)), "cells").repartition(4, "block").sortWithinPartitions("block", "row_id", "pos").drop("block")
+    log = spark.createDataFrame([(1, d, 0.0) for d in range(20)] + [(1, None, 0.0)], "src long, dst long, time double")
+    want = rules.run_exclusion(cells, log, rules.triple_rule(rules.slate_sets(cells, log)))
+    found = byblock.run_exclusion(cells, log, dealt=True)
+    if last - first < byblock.ROWS // 2:
+        assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+    pick = lambda df: sorted((x.row_id, x.pos, x.level) for x in df.collect())
+    got = pick(found)
+    assert got == pick(want) and len(got) > 500
