@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kairograph.operators import byblock, bysource, history, replay, rules
+from kairograph.functions.scores import promote_in_unit, row, row_minmax
+from kairograph.operators import byblock, bysource, bystretch, crf, history, replay, rules
 from kairograph.plans import features, registry
 from kairograph.sources import stored
 from kairograph.sources.shared import written
@@ -109,3 +110,65 @@ def test_runs_by_block_shuffle_no_cells_and_are_those_by_joins(spark, first, las
     pick = lambda df: sorted((x.row_id, x.pos, x.level) for x in df.collect())
     got = pick(found)
     assert got == pick(want) and len(got) > 500
+
+
+def chain_by_rules(cells, log):
+    """The chain, step by step, by joins; and how many cells each step acts on."""
+    sets = written(rules.slate_sets(cells, log), "sets")
+    triples = written(rules.triple_rule(sets), "triples")
+    labels = written(rules.answer_labels(triples, rules.pair_labels(sets, triples)), "labels")
+    scored = crf.equality_crf(cells, log).withColumn("score", row_minmax(F.col("score")))
+    marked = scored.join(triples.select("row_id", F.col("cand").alias("answer")), "row_id", "left")
+    first = F.min(F.when(F.col("cand") == F.col("answer"), F.col("pos"))).over(row())
+    promoted = marked.withColumn("score", promote_in_unit(F.col("score"), F.coalesce(F.col("pos") == first, F.lit(False)))).drop("answer")
+    hard = rules.zero_repeat_demotions(cells, labels, triples)
+    runs = rules.run_exclusion(cells, log, triples).join(hard, ["row_id", "pos"], "left_anti")
+    out = rules.cross_time_exclusivity(rules.apply_demotions(promoted, hard.union(runs).dropDuplicates(["row_id", "pos"])))
+    return out, [triples.count(), labels.where("NOT from_triple").count(), hard.where("level = 2").count(), hard.where("level = 1").count(), runs.count(), out.where("acted").count()]
+
+
+def test_the_basket_chain_by_stretches_shuffles_no_cells_and_gives_what_its_rules_give(spark, monkeypatch):
+    """Small blocks, a stretch longer than a block, gaps, doubles and nulls; batches cut rows; ties of margins go to the smallest time."""
+    r = random.Random(3)
+    slates = []
+    for k in range(700):
+        long_ = 220 <= k <= 400
+        slate = [r.randrange(60) for _ in range(1 + k % 6)] + [100 + k // 4] * (k % 4 < 3) + [7] * long_
+        slates.append((k, r.randrange(9), 50.5 if long_ else float(k // 40), slate))
+    slates = [x for x in slates if x[0] % 211 != 5]
+    cells = [(k, s, t, p, c, r.randrange(40) / 40 - (k % 5 == 0)) for k, s, t, x in slates for p, c in enumerate(x)]
+    cells += [(700, None, 17.0, p, c, v) for p, (c, v) in enumerate([(None, None), (1, 0.5), (None, None), (7, 0.25), (1, 0.25)])]
+    cells += [(701, None, 17.0, 0, None, None), (702, 2, None, 0, 7, 0.5), (703, 2, None, 0, 7, 0.5), (704, 2, -3.0, 0, 7, 0.5), (705, 3, -3.0, 0, 7, 0.5), (705, 3, -3.0, 1, None, 0.75)]
+    names = "row_id long, src long, time double, pos long, cand long, score double"
+    cells = written(spark.createDataFrame(cells, names), "cells")
+    log = spark.createDataFrame([(1, d, 0.0) for d in [*range(40), *range(100, 275)]] + [(None, 1, 0.0), (2, None, 0.0)], "src long, dst long, time double")
+    top_two = rules.top_two
+    monkeypatch.setattr(rules, "top_two", lambda c: top_two(c).withColumn("margin", F.round("margin", 12)))
+    want, acts = chain_by_rules(cells, log)
+    assert min(acts) > 5
+    plans = {}
+    monkeypatch.setattr(bystretch, "written", lambda df, name: plans.update({name: plan(df)}) or written(df, name))
+    monkeypatch.setattr(stored, "BLOCK", 300)
+    for module in (byblock, bystretch):
+        monkeypatch.setattr(module, "ROWS", 64)
+    monkeypatch.setattr(bystretch, "EDGE", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        block = F.floor(F.col("row_id") / 64)
+        blocks = cells.withColumn("block", block).repartition(3, "block").sortWithinPartitions("block", "row_id", "pos").drop("block")
+        seen = []
+
+        def deal(place):
+            out = place(cells)
+            seen.extend(x.n for x in out.groupBy("part").agg(F.count_distinct("row_id").alias("n")).collect())
+            return out.repartition(3, "part").sortWithinPartitions("part", "row_id", "pos")
+
+        found = bystretch.ds2_chain(blocks, log, deal)
+        assert max(seen) > 128 and len(seen) > 6
+        assert all("Join" not in plans[n] and plans[n].count("Exchange hashpartitioning") == 1 for n in ("seen", "rows")) and "Exchange" not in plan(found)
+        rows = lambda df: {(x.row_id, x.pos): x.score if x.score is None else pytest.approx(x.score, abs=1e-11) for x in df.collect()}
+        assert rows(found) == rows(want)
+        whole = features.ds2_chain(cells, log)
+        assert whole.columns == cells.columns and rows(whole) == rows(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
