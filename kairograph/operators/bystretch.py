@@ -42,6 +42,17 @@ def _code(time):
     return np.where(small, np.where(small, time, 0).astype(np.int64), time.view(np.int64) ^ 0x7FF4000000000000)
 
 
+def _sorted(value):
+    """The stable order of the values; where a value and a place fit into one number, these are sorted, which is faster."""
+    import numpy as np
+
+    bits = len(value).bit_length()
+    low, high = (int(value.min()), int(value.max())) if len(value) else (0, 0)
+    if (high - low + 1) << bits >= 2**63:
+        return np.argsort(value, kind="stable")
+    return np.sort((value - low) << bits | np.arange(len(value))) & ((1 << bits) - 1)
+
+
 class _Slates:
     """Slates of consecutive rows: what rows share with the next, the labels that follow, and the runs of warm candidates."""
 
@@ -57,7 +68,7 @@ class _Slates:
         # Whether a row comes right after the one before, at its time; and from another source.
         after = np.append(False, (number[1:] == number[:-1] + 1) & self.timed[1:] & self.timed[:-1] & (self.at[1:] == self.at[:-1]))[:n]
         apart = np.append(False, self.told[1:] & self.told[:-1] & (self.src[1:] != self.src[:-1]))[:n]
-        order = np.argsort(cand, kind="stable") if self.known.all() else np.lexsort((cand, self.known))
+        order = _sorted(cand) if self.known.all() else np.lexsort((cand, self.known))
         c, r, k = cand[order], rows.of[order], self.known[order]
         new = np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1]) | (k[1:] != k[:-1]))[: len(c)]
         start = np.flatnonzero(new)
@@ -224,7 +235,8 @@ def ds2_chain(cells: DataFrame, log: DataFrame, deal: Callable[[Place], DataFram
     up. Scores are written once, a row's in a list, until it is known which rows swap.
     """
     spark = cells.sparkSession
-    known = Stored(log.where("dst IS NOT NULL").select("dst").distinct().select(F.col("dst").alias("id"), F.array("dst").alias("values")), log.count())
+    ids = written(log.where("dst IS NOT NULL").select("dst").distinct(), "ids")
+    known = Stored(ids.select(F.col("dst").alias("id"), F.array("dst").alias("values")), ids.count())
     names = ["row_id", "src", "time", "pos", "cand", "score"]
     if deal is None:
         plain = cells.select(*names)
